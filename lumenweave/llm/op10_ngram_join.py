@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buckets import BLOB_DDL, COLD_PAIR, HOT, Packer, candidate_pairs, parts_for, restricted
+from .buckets import BLOB_DDL, BROADCAST_IDS, COLD_PAIR, HOT, Packer, candidate_pairs, parts_for
 from .common import U64, as_bytes, components, drop_path, mix, read_table, shingle_sets, written
 
 COLD = 16
@@ -94,6 +94,14 @@ def signatures(h: np.ndarray) -> tuple[np.ndarray, int]:
     return np.concatenate(out), spare
 
 
+def least_shared(h: np.ndarray) -> int:
+    """Buckets that any partner shares with the set at least, were none hot; 0 or less: none for sure."""
+    if not len(h):
+        return 0
+    spare = signatures(h)[1]
+    return spare // 2 if spare > 0 and any(ALLOCATION[k][1] for k in bands_for(len(h))) else spare
+
+
 def singles(h: np.ndarray) -> np.ndarray:
     return mix(h * _K1 + U64(99))
 
@@ -109,28 +117,41 @@ def _key(h: np.ndarray) -> tuple[int, int]:
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, spare): size, 128-bit key of the set, worth in excess; docs are (doc_id, text)."""
+    """(doc_id, n_shingles, k1, k2, spare): size and 128-bit key of the set, and least_shared; docs are (doc_id, text)."""
 
     def rows(batches):
         for batch in batches:
             out = []
             for i, h in _ids_and_sets(batch):
-                out.append((i, len(h), *_key(h)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ([],) * 4, (pa.int64(),) * 4)], ["doc_id", "n_shingles", "k1", "k2"])
+                out.append((i, len(h), *_key(h), least_shared(h)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ([],) * 5, (pa.int64(),) * 5)], ["doc_id", "n_shingles", "k1", "k2", "spare"])
+
+    return docs.mapInArrow(rows, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, spare bigint")
+
+
+def speaking(docs: DataFrame, ids: DataFrame, reps: DataFrame) -> DataFrame:
+    """(doc_id, text, k1) of the given ids: k1 tells which text speaks for an id that is repeated with another one."""
+    few = reps.select("doc_id", "k1").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    few, _ = written(few, "ids")
+    return docs.join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, "doc_id").select("doc_id", "text", "k1")
 
-    return docs.mapInArrow(rows, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint")
+
+def _spoken(batch):
+    """(row, doc_id, set) of the rows whose text speaks for their id."""
+    for row, ((i, h), k1) in enumerate(zip(_ids_and_sets(batch), batch.column(2).to_pylist())):
+        if len(h) and _key(h)[0] == k1:
+            yield row, i, h
 
 
 def _packed(docs: DataFrame, parts: int, cold: int) -> DataFrame:
     def rows(batches):
         packer = Packer(parts, cold)
         for batch in batches:
-            for i, h in _ids_and_sets(batch):
-                if len(h):
-                    s, spare = signatures(h)
-                    if spare <= 0:
-                        s = np.concatenate((s, singles(h)))
-                    yield from packer.add(s, np.full(len(s), i, np.int64))
+            for _, i, h in _spoken(batch):
+                s, spare = signatures(h)
+                if spare <= 0:
+                    s = np.concatenate((s, singles(h)))
+                yield from packer.add(s, np.full(len(s), i, np.int64))
         yield from packer.flush()
 
     return docs.mapInArrow(rows, BLOB_DDL)
@@ -142,7 +163,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     def rows(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
-                part = [(i, h.view(np.int64)) for i, h in _ids_and_sets(batch.slice(a, 500))]
+                part = [(i, h.view(np.int64)) for _, i, h in _spoken(batch.slice(a, 500))]
                 flat = np.concatenate([h for _, h in part] or [np.zeros(0, np.int64)])
                 off = np.concatenate(([0], np.cumsum([len(h) for _, h in part]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["doc_id", "h"])
@@ -150,24 +171,26 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id bigint, h array<bigint>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sets reach the threshold exactly. The side b, mostly distinct, is joined first; a hot a is split by Spark."""
-    one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")), "b")
-    both = one.join(sets.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), "a").select("a", "b", "ha", "hb")
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sets reach the threshold exactly.
+
+    Texts travel, as they are smaller than their sets. The side b, mostly distinct, is joined first; a hot a is split by Spark.
+    """
+    texts = lambda c: speaking(docs, pairs.select(F.col(c).alias("doc_id")), reps).select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"), F.col("k1").alias(f"k{c}"))
+    both = pairs.select("a", "b").join(texts("b"), "b").join(texts("a"), "a").select("a", "b", "ta", "tb", "ka", "kb")
 
     def rows(batches):
-        for batch in batches:
-            a, b, ok = batch.column(0), batch.column(1), []
-            fa, oa = batch.column(2).flatten().to_numpy(), batch.column(2).offsets.to_numpy()
-            fb, ob = batch.column(3).flatten().to_numpy(), batch.column(3).offsets.to_numpy()
-            oa, ob = oa - oa[0], ob - ob[0]
-            for k in range(batch.num_rows):
-                x, y = fa[oa[k] : oa[k + 1]], fb[ob[k] : ob[k + 1]]
-                z = np.sort(np.concatenate((x, y)))
-                same = int(np.count_nonzero(z[1:] == z[:-1]))
-                ok.append(DEN * same >= NUM * (len(x) + len(y) - same))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+        for whole in batches:
+            for s in range(0, whole.num_rows, 500):
+                batch = whole.slice(s, 500)
+                one, two = (shingle_sets(as_bytes(batch.column(c).to_pylist()), N) for c in (2, 3))
+                ok = []
+                for x, y, ka, kb in zip(one, two, batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                    z = np.sort(np.concatenate((x, y)))
+                    same = int(np.count_nonzero(z[1:] == z[:-1]))
+                    ok.append(DEN * same >= NUM * (len(x) + len(y) - same) and _key(x)[0] == ka and _key(y)[0] == kb)
+                keep = pa.array(ok, pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     return both.mapInArrow(rows, "a bigint, b bigint")
 
@@ -182,28 +205,26 @@ def ngram_components(docs: DataFrame, cold: int = COLD) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     table, _ = written(set_table(docs), "sets")
-    one = F.min(F.struct("n_shingles", "k1", "k2")).alias("x")
+    one = F.min(F.struct("n_shingles", "k1", "k2", "spare")).alias("x")
     used = table.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(one).select("doc_id", "x.*")
     # sets that are equal are one class; its smallest id stands for it
     classes = used.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    copies, _ = written(used.join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "rep", "k1", F.col("n_shingles").alias("size")), "copies")
-    reps = copies.where("doc_id = rep").select("doc_id", "k1", "size")
-    parts = parts_for(docs)
-    found, found_path = written(candidate_pairs(_packed(restricted(docs, reps, "doc_id"), parts, cold), cold), "pairs")
-    left = reps.select(F.col("doc_id").alias("a"), F.col("size").alias("sa"))
-    right = reps.select(F.col("doc_id").alias("b"), F.col("size").alias("sb"))
-    summed = found.where(f"kind <> {HOT}").groupBy("a", "b").agg(F.min("kind").alias("kind"), F.sum("n").alias("n"))
-    summed = summed.join(left, "a").join(right, "b").withColumn("lo", F.least("sa", "sb")).withColumn("hi", F.greatest("sa", "sb"))
-    pairs, pairs_path = written(summed.where(F.col("lo") * DEN >= F.col("hi") * NUM).select("a", "b", "kind", "n", "hi"), "pairs")
+    copies, _ = written(used.join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "rep", "k1", "spare", F.col("n_shingles").alias("size")), "copies")
+    reps = copies.where("doc_id = rep").select("doc_id", "k1", "size", "spare")
+    found, found_path = written(candidate_pairs(_packed(speaking(docs, reps, reps), parts_for(docs), cold), cold), "pairs")
     hot = found.where(f"kind = {HOT}").groupBy(F.col("a").alias("doc_id")).agg(F.sum("n").alias("hot"))
+    # a link shares at least its ends' spare buckets, less their hot ones, among the cold ones
+    ends = reps.join(hot, "doc_id", "left").select("doc_id", "size", (F.col("spare") - F.coalesce("hot", F.lit(0))).alias("need"))
+    left, right = (ends.select(F.col("doc_id").alias(c), F.col("size").alias(f"s{c}"), F.col("need").alias(f"n{c}")) for c in "ab")
+    count = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0))
+    summed = found.where(f"kind <> {HOT}").groupBy("a", "b").agg(count(COLD_PAIR).alias("n_cold"), F.sum("n").alias("n"))
+    summed = summed.join(left, "a").join(right, "b").withColumn("lo", F.least("sa", "sb")).withColumn("hi", F.greatest("sa", "sb")).where(F.col("lo") * DEN >= F.col("hi") * NUM)
+    due, likely = F.col("n_cold") >= F.greatest(F.lit(1), "na", "nb"), F.col("n") * 10 >= F.col("hi")
+    pairs, pairs_path = written(summed.withColumns({"due": due, "likely": likely}).where("due or likely").select("a", "b", "n", "due", "likely"), "pairs")
     # first each set with its best partner: that makes most components
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"), F.max("n").alias("n"), F.max_by("hi", "n").alias("hi"))
-    # a pair that shares few signatures cannot be a link found best here; it is left to the exact step below
-    best = best.where(F.col("n") * 20 >= F.col("hi")).select("a", "b")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    sets, sets_path = written(_sets(restricted(docs, ids, "doc_id")), "shingles")
-    edges, _ = written(verified(best, sets), "edges")
-    # then every other candidate whose ends are still apart
+    best = pairs.where("likely").groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+    edges, _ = written(verified(best, docs, reps), "edges")
+    # then every due candidate whose ends are still apart
     comp, _ = written(components(edges), "components")
 
     def apart(p: DataFrame, comp: DataFrame) -> DataFrame:
@@ -211,43 +232,28 @@ def ngram_components(docs: DataFrame, cold: int = COLD) -> DataFrame:
         p = p.join(left, "a", "left").join(right, "b", "left")
         return p.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    rest, _ = written(apart(pairs.where(f"kind = {COLD_PAIR} or n * 20 >= hi"), comp), "rest")
-    more, _ = written(verified(rest, sets), "edges")
+    rest, _ = written(apart(pairs, comp), "rest")
+    more, _ = written(verified(rest, docs, reps), "edges")
     edges = edges.union(more)
-    hot = hot.where("hot > 0")
     # sets whose worth without their hot buckets does not exceed H
-    heated, _ = written(_heated(restricted(docs, hot, "doc_id"), hot), "heated")
-    if heated.limit(1).count():
+    heated, _ = written(ends.join(hot, "doc_id", "left_semi").where("need <= 0").select("doc_id"), "heated")
+    if not heated.isEmpty():
         comp, _ = written(components(edges), "components")
-        edges = edges.union(_completed(docs, heated, comp, cold))
+        edges = edges.union(_completed(docs, heated, reps, comp, cold))
+    drop_path(docs.sparkSession, found_path, pairs_path)
     links = edges.union(copies.where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     comp = components(links)
-    drop_path(docs.sparkSession, found_path, pairs_path, sets_path)
     out = table.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _heated(docs: DataFrame, hot: DataFrame) -> DataFrame:
-    """doc_id of the rows whose hot buckets may hide links."""
-
-    def rows(batches):
-        for batch in batches:
-            out = []
-            for (i, h), heat in zip(_ids_and_sets(batch), batch.column(2).to_pylist()):
-                if len(h) and signatures(h)[1] - heat * (2 if any(ALLOCATION[k][1] for k in bands_for(len(h))) else 1) <= 0:
-                    out.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["doc_id"])
-
-    return docs.join(hot, "doc_id").select("doc_id", "text", "hot").mapInArrow(rows, "doc_id bigint").distinct()
-
-
-def _completed(docs: DataFrame, heated: DataFrame, comp: DataFrame, cold: int) -> DataFrame:
+def _completed(docs: DataFrame, heated: DataFrame, reps: DataFrame, comp: DataFrame, cold: int) -> DataFrame:
     """Links among heated sets that are still in different components, from their shingles taken singly.
 
     Of a set's shingles that do not occur in over ``cold`` heated sets, a partner must share one, unless the frequent
     ones alone reach the threshold. Those few sets are compared within the components' representatives of equal frequent shingles.
     """
-    sets, _ = written(_sets(restricted(docs, heated, "doc_id")), "heated-sets")
+    sets, _ = written(_sets(speaking(docs, heated, reps)), "heated-sets")
     rows = sets.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("c"), F.size("h").alias("size"), F.explode("h").alias("t"))
     counts = rows.groupBy("t").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
     shared = rows.join(counts.select("t", "n"), "t")
@@ -262,7 +268,7 @@ def _completed(docs: DataFrame, heated: DataFrame, comp: DataFrame, cold: int) -
     prefix = mostly.select("doc_id", "c", "size", F.explode(F.slice("ts", F.lit(1), (F.floor(F.col("f") / 2) + 1).cast("int"))).alias("t"))
     left, right = prefix.alias("x"), prefix.alias("y")
     frequent = left.join(right, F.col("x.t") == F.col("y.t")).where("x.doc_id < y.doc_id and x.c <> y.c").where(near(F.col("x.size"), F.col("y.size"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    out, _ = written(verified(pairs.union(frequent).distinct(), sets), "edges")
+    out, _ = written(verified(pairs.union(frequent).distinct(), docs, reps), "edges")
     return out
 
 

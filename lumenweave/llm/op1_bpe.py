@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, read_table
+from .common import chunks, drop_path, mix, read_table, written
 
 LEXICON_WORDS = 1 << 16
 CHUNK = 1 << 20
@@ -480,10 +480,28 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(rows, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(texts: DataFrame, size: int) -> list:
+    """Rows (word, n) of the most frequent words: at most ``size``, whole classes of frequency.
+
+    A histogram of a bounded number of classes finds the cut, so that only the words above it reach the driver.
+    """
+    counts, path = written(word_counts(texts).where("n > 1"), "words")
+    counts = counts.withColumn("class", F.floor(F.log2("n") * 32))
+    cut, total = None, 0
+    for r in counts.groupBy("class").agg(F.count("*").alias("words")).orderBy(F.desc("class")).collect():  # at most 32 * 63 rows
+        total += r.words
+        if total > size:
+            break
+        cut = r["class"]
+    top = counts.where(F.col("class") >= cut).select("word", "n").collect() if cut is not None else []
+    drop_path(texts.sparkSession, path)
+    return top
+
+
 def build_lexicon(texts: DataFrame, vocabulary: str, size: int = LEXICON_WORDS) -> str:
-    """Compiles the ``size`` most frequent words of all texts and ships the file to the executors; its name for SparkFiles."""
+    """Compiles up to ``size`` of the most frequent words of all texts and ships the file to the executors; its name for SparkFiles."""
     v = Vocabulary(vocabulary)
-    top = word_counts(texts).where("n > 1").orderBy(F.desc("n"), "word").limit(size).collect()  # at most ``size`` words
+    top = frequent_words(texts, size)
     folder = os.path.realpath(tempfile.mkdtemp(prefix="lexicon-"))
     raw = f"{folder}/new"
     Lexicon.compile({bytes(r.word): v.merge(bytes(r.word)) for r in top}, raw)
