@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import mix, partitions
 
 PART_DOCS = 4000
-FLUSH = 1 << 22
+FLUSH = 1 << 20
 BLOB = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
 BLOB_DDL = "part bigint, kind int, keys binary, ids binary"
 PAIR_DDL = "kind int, a bigint, b bigint, n bigint"
@@ -58,6 +58,10 @@ def _star(ids: np.ndarray, start: np.ndarray, size: np.ndarray, hot: np.ndarray)
     return rep[other], every[other], every
 
 
+def pair_hash(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return mix(keys * np.uint64(0x9E3779B97F4A7C15) + mix(ids.astype(np.uint64)))
+
+
 class Packer:
     def __init__(self, parts: int, cold: int):
         self.parts, self.cold, self.keys, self.ids, self.n = parts, cold, [], [], 0
@@ -139,9 +143,8 @@ def candidate_pairs(blobs: DataFrame, cold: int) -> DataFrame:
                 _, _, every = _star(i, start, size, hot)
                 every_key = np.repeat(k[start[hot]], size[hot])
                 if len(hot_keys):
-                    told = set(zip(raw_k[raw_m].tolist(), raw_i[raw_m].tolist()))
-                    new = np.array([x not in told for x in zip(every_key.tolist(), every.tolist())], bool)
-                    every = every[new]
+                    told = pair_hash(raw_k[raw_m], raw_i[raw_m])
+                    every = every[~np.isin(pair_hash(every_key, every), told)]
                 who, n = np.unique(every, return_counts=True)
                 extra.append((HOT, who, np.zeros(len(who), np.int64), n))
             left, right = [], []

@@ -263,9 +263,9 @@ def _completed(docs: DataFrame, heated: DataFrame, reps: DataFrame, comp: DataFr
     pairs = two.where(near(F.col("x.size"), F.col("y.size"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     # mostly frequent shingles: |frequent| >= 3/4 of the set; among those, ends of different components under one frequent shingle each
     warm = shared.where(F.col("n") > cold)
-    mostly = warm.groupBy("doc_id", "c", "size").agg(F.count("*").alias("f"), F.array_sort(F.collect_list("t")).alias("ts")).where(F.col("f") * DEN >= F.col("size") * NUM)
-    # two such sets with J >= 3/4 share over half of either's frequent shingles, so one of the first half + 1 of each, in a common order
-    prefix = mostly.select("doc_id", "c", "size", F.explode(F.slice("ts", F.lit(1), (F.floor(F.col("f") / 2) + 1).cast("int"))).alias("t"))
+    mostly = warm.groupBy("doc_id", "c", "size").agg(F.count("*").alias("f"), F.array_sort(F.collect_list(F.struct("n", "t"))).alias("ts")).where(F.col("f") * DEN >= F.col("size") * NUM)
+    # a set loses at most a quarter of its shingles, so at most a third of its f frequent ones, to a partner: they share one of the rarest f / 3 + 1 of each
+    prefix = mostly.select("doc_id", "c", "size", F.explode(F.slice("ts", F.lit(1), (F.floor(F.col("f") / 3) + 1).cast("int"))).alias("nt")).select("doc_id", "c", "size", "nt.t")
     left, right = prefix.alias("x"), prefix.alias("y")
     frequent = left.join(right, F.col("x.t") == F.col("y.t")).where("x.doc_id < y.doc_id and x.c <> y.c").where(near(F.col("x.size"), F.col("y.size"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     out, _ = written(verified(pairs.union(frequent).distinct(), docs, reps), "edges")

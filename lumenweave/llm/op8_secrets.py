@@ -6,8 +6,8 @@ by itself, so they are reported only where complementary parts co-occur: a key w
 an endpoint with an access identifier and a secret (key or assign) in its scope. A scope is a span widened by ``SCOPE``
 code points on either side, within one document.
 
-Positions: ``(?s)(.*?)(pattern)`` cuts a text into gaps and matches; running sums of their lengths are the
-positions. The interval join is one sweep over a document's spans in order of start with a range frame: each
+Positions: ``(?s)\\G(.*?)(pattern)`` cuts a text into gaps and matches; running sums of their lengths are the
+positions; ``\\G`` lets the text behind the last match fail at once. The interval join is one sweep over a document's spans in order of start with a range frame: each
 span is one row and no pairs are made, whatever the number of spans in a document.
 """
 
@@ -30,7 +30,7 @@ BASE = ("assign", "access", "hex")
 
 def _cuts(text: Column, kind: str, pattern: str, needs: Column, groups: int = 0) -> Column:
     """array of (kind, pos, gap, len, value length) for each match; empty where ``needs`` is false."""
-    whole = F.lit(rf"(?s)(.*?)({pattern})")
+    whole = F.lit(rf"(?s)\G(.*?)({pattern})")
     gap, hit = F.regexp_extract_all(text, whole, F.lit(1)), F.regexp_extract_all(text, whole, F.lit(2))
     value = F.regexp_extract_all(text, whole, F.lit(2 + groups)) if groups else hit
     rows = F.transform(F.arrays_zip(gap.alias("g"), hit.alias("h"), value.alias("v")), lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), F.char_length(x["g"]).cast("long").alias("gap"), F.char_length(x["h"]).cast("long").alias("len"), F.char_length(x["v"]).cast("long").alias("value")))
