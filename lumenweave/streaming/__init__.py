@@ -1,0 +1 @@
+"""No streaming operators: the audits described here are batch jobs over finished crawls."""
