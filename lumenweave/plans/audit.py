@@ -11,6 +11,7 @@ from ..operators import enrich as E
 from ..operators import graph_rules, grouping, page_rules, semantic, validation
 from ..operators.catalog import RULE_TEXTS, Registry, Rule
 from ..sources.crawl import Crawl
+from ..sources.tables import written
 
 
 def default_registry() -> Registry:
@@ -68,21 +69,26 @@ class Audit:
 
 
 def audit(c: Crawl, audited_at: str, model: semantic.Model = semantic.mock_model, make=E.MockGenerator, several_canonicals: bool = True, registry: Registry | None = None) -> Audit:
-    """``registry``: run these rules, one by one, in place of the fused default rules."""
+    """``registry``: run these rules, one by one, in place of the fused default rules.
+
+    Each stage is written to the shared folder: later stages read it several times, and no plan grows with the stages before it.
+    """
     if registry is None:
-        raw = run_rules(c)
+        raw = written(run_rules(c))
     else:
         good, _ = run_isolated(c, registry)
         raw = good[0][1]
         for _, f in good[1:]:
             raw = raw.union(f)
-    checked = validation.validate_findings(raw, c.pages)
+        raw = written(raw)
+    checked = written(validation.validate_findings(raw, c.pages))
     kept = checked.where(F.size("errors") == 0).drop("errors").select(*raw.columns)
     kept = kept.union(semantic.interpret(semantic.page_results(c.pages, model)).select(*raw.columns))
-    sources = grouping.deduplicate(kept)
+    kept = written(kept)
+    sources = written(grouping.deduplicate(kept))
     pages = c.pages.groupBy("crawl_id").agg(F.count("*").alias("pages"))
-    groups = validation.validate_groups(grouping.group(sources, pages), sources, c, several_canonicals)
+    groups = written(validation.validate_groups(written(grouping.group(sources, pages)), sources, c, several_canonicals))
     tally = groups.groupBy("crawl_id").agg(F.count("*").alias("findings_evaluated"), F.count_if("valid").alias("evidence_valid_findings"), F.count_if(~F.col("valid")).alias("excluded_findings"))
-    valid = E.enrich(groups.where("valid"), make)
+    valid = written(E.enrich(groups.where("valid"), make))
     s, scopes = grouping.summary(valid, c.crawl), E.scope(c.crawl, c.pages, c.unfetched)
     return Audit(kept, checked, valid, s, scopes, E.json_reports(valid, c.crawl, s, scopes, audited_at, tally), E.markdown_reports(valid, c.crawl, s, scopes, tally))

@@ -13,6 +13,7 @@ from ..operators import enrich as E
 from ..operators import graph_rules, grouping, page_rules, semantic, validation
 from ..sources.crawl import crawl_statistics
 from ..sources.html import extract_pages
+from ..sources.tables import written
 from . import audit as A
 from . import overlay
 
@@ -164,14 +165,14 @@ def overlay_finding_checks(spark, sf_dir):
 def overlay_rule_diagnostics(spark, sf_dir):
     """G10, V9's catalog: every rule with its counts and status."""
     c = overlay.crawl(spark, sf_dir)
-    checked = validation.validate_findings(A.run_rules(c), c.pages)
+    checked = written(validation.validate_findings(written(A.run_rules(c)), c.pages))
     return validation.rule_diagnostics(checked, A.default_registry().table(spark), c.crawl).drop("crawl_id")
 
 
 def overlay_group_checks(spark, sf_dir):
     """Groups with validity and error counts."""
     c = overlay.crawl(spark, sf_dir)
-    f = grouping.deduplicate(A.run_rules(c))
+    f = written(grouping.deduplicate(written(A.run_rules(c))))
     g = validation.validate_groups(grouping.group(f, c.pages.groupBy("crawl_id").agg(F.count("*").alias("pages"))), f, c)
     return g.select("group_id", "rule_id", "valid", "bad_sources", F.size("errors").cast("bigint").alias("n_errors"))
 
@@ -179,7 +180,7 @@ def overlay_group_checks(spark, sf_dir):
 def overlay_compression(spark, sf_dir):
     """G15."""
     c = overlay.crawl(spark, sf_dir)
-    f = grouping.deduplicate(A.run_rules(c))
+    f = written(grouping.deduplicate(written(A.run_rules(c))))
     return grouping.compression(f, grouping.group(f, c.pages.groupBy("crawl_id").agg(F.count("*").alias("pages"))), c.crawl).drop("crawl_id")
 
 

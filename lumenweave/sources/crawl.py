@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import written
+
 _LINK = "struct<url: string, text: string>"
 EXTRACTED = (
     "struct<title: string, meta_description: string, meta_robots: array<string>, language: string, visible_text: string, h1s: array<string>, h2s: array<string>,"
@@ -61,7 +63,7 @@ def complete_pages(pages: DataFrame) -> DataFrame:
 def load_json(spark: SparkSession, path: str) -> Crawl:
     """Crawl dumps: one JSON object a file, read with the fixed schema. A page without one of url, final_url, status_code, content_type or depth fails.
 
-    Unfetched entries may be objects or bare strings.
+    Unfetched entries may be objects or bare strings. The completed pages are written to the shared folder, as every rule reads them.
     """
     schema = f"seed_url string, crawled_at string, pages array<struct<{_struct(PAGE)}>>, crawl_stats {CRAWL_STATS}, crawl_diagnostics {CRAWL_DIAGNOSTICS}, raw_scrapy_stats struct<finish_reason: string>, unfetched_urls array<string>"
     raw = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("crawl_id", F.col("_metadata.file_path"))
@@ -71,7 +73,7 @@ def load_json(spark: SparkSession, path: str) -> Crawl:
         pages = pages.withColumn(c, F.when(F.col(c).isNull(), F.raise_error(F.lit(f"a page lacks {c}"))).otherwise(F.col(c)))
     u = F.col("u")
     unfetched = raw.select("crawl_id", F.posexplode("unfetched_urls").alias("seq", "u")).select("crawl_id", F.col("seq").cast("bigint").alias("seq"), F.when(u.startswith("{"), F.get_json_object(u, "$.url")).otherwise(u).alias("url"), F.when(u.startswith("{"), F.get_json_object(u, "$.reason")).alias("reason"))
-    return Crawl(crawl, complete_pages(pages), unfetched)
+    return Crawl(crawl, written(complete_pages(pages)), unfetched)
 
 
 def _struct(ddl: str) -> str:

@@ -12,6 +12,7 @@ from lumenweave.operators import graph_rules, grouping, page_rules, semantic, va
 from lumenweave.operators.catalog import Registry, Rule
 from lumenweave.plans import audit as A
 from lumenweave.sources.crawl import CRAWL, UNFETCHED, Crawl, complete_pages, frontier, load_json
+from lumenweave.sources.tables import written
 from lumenweave.sources.html import extract, page_type
 
 PAGE_DDL = "crawl_id string, page_seq bigint, " + __import__("lumenweave.sources.crawl", fromlist=["PAGE"]).PAGE
@@ -27,7 +28,7 @@ def make(spark, pages, unfetched=(), when="2024-09-04T00:00:00Z", ended="finishe
         d = {"malformed_jsonld_count": 0, "visible_text_length": len(x["visible_text"] or "")} | p.pop("d", {})
         rows.append({"crawl_id": "c", "page_seq": i, "url": url, "final_url": url, "status_code": 200, "content_type": "text/html", "depth": 1, "redirect_chain": [], "raw_html": "", "extracted": x, "diagnostics": d} | p)
     head = [("c", seed, when, None, {"crawl_termination_reason": ended, "pages_discovered_not_fetched": 0}, "finished")]
-    return Crawl(spark.createDataFrame(head, CRAWL), complete_pages(spark.createDataFrame(rows, PAGE_DDL)), spark.createDataFrame([("c", i, *u) for i, u in enumerate(unfetched)], UNFETCHED))
+    return Crawl(spark.createDataFrame(head, CRAWL), written(complete_pages(spark.createDataFrame(rows, PAGE_DDL).coalesce(2))), spark.createDataFrame([("c", i, *u) for i, u in enumerate(unfetched)], UNFETCHED))
 
 
 def fired(c):
@@ -90,7 +91,7 @@ def test_freshness(spark):
     got = fired(make(spark, cases))
     assert pages_of(got, "FR-DATE-001") == [0, 2, 3] and pages_of(got, "FR-DATE-002") == [2] and pages_of(got, "FR-DATE-003") == [3] and pages_of(got, "FR-DATE-004") == [4]
     assert pages_of(got, "FR-CONS-001") == [5] and pages_of(got, "FR-CONS-002") == [7]
-    assert pages_of(got, "FR-STALE-001") == [11] and pages_of(got, "FR-STALE-002") == [13]
+    assert pages_of(got, "FR-STALE-001") == [10, 11] and pages_of(got, "FR-STALE-002") == [13]
     assert got["FR-DATE-004"][0].observed_value == "Future date: '2099-01-01' (Normalized: 2099-01-01T00:00:00+00:00) vs Audit Time: 2024-09-04T00:00:00+00:00"
 
 
