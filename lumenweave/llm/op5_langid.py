@@ -92,7 +92,7 @@ class Model:
         self.bits = np.zeros((self.nodes, size, max(1, len(langs))), np.float32)
         for k, (c, n) in enumerate(contexts):
             base = np.full(size, 1 / 256)
-            base[1] = others / 256
+            base[0], base[1] = 0, others / 256
             p0 = self._mix(np.bincount(c[3], n, size)[None], base[None])
             p1 = self._mix(self._table(c[2], c[3], n, n1, size), p0)
             p2 = self._mix(self._table(c[1] * size + c[2], c[3], n, n2, size), np.tile(p1, (size, 1)))
@@ -102,7 +102,7 @@ class Model:
             p3 = self._mix(self._table(at[ok], c[3][ok], n[ok], len(kept3), size), p2[kept3 % n2])
             p = np.concatenate((p0, p1, p2, p3))
             p[:, 1] /= max(1, others)  # each of the bytes never seen
-            p[:, 0] = 1
+            p[:, 0] = p[:, 1]
             self.bits[:, :, k] = -np.log2(np.maximum(p, 1e-30))
         self.bits = self.bits.reshape(-1, self.bits.shape[2])
 
