@@ -3,12 +3,13 @@
 Each capture writes three WARC/1.1 records: a response (or a revisit, for a payload of at least ``MIN_REVISIT`` bytes
 that another capture with a larger page_id has as well), its request and its metadata; the last two name the first in
 WARC-Concurrent-To. Records go out through Spark's text writer with the record end, two CRLFs, as line separator,
-so a part file is a plain WARC file and any file system that Spark writes will do. They come back as binary
+so a part file is a gzipped WARC file and any file system that Spark writes will do. They come back as binary
 files, parsed by Content-Length, and requests and metadata join their response by WARC-Concurrent-To.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 
 import pyarrow as pa
@@ -64,7 +65,7 @@ def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, per_file: int = RECORDS_PER_FILE) -> None:
-    records(pages, min_revisit).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
+    records(pages, min_revisit).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes):
@@ -93,7 +94,7 @@ def _read(payloads: bool):
         for batch in batches:
             for content in batch.column(0):
                 out = []
-                for h, block in parse(content.as_py()):
+                for h, block in parse(gzip.decompress(content.as_py())):
                     kind, payload = h["warc-type"], b""
                     body = block.split(b"\r\n\r\n", 1)[1] if kind in ("response", "revisit") else None
                     x = {"kind": kind, "record_id": h["warc-record-id"], "concurrent_to": h.get("warc-concurrent-to"), "target_uri": h.get("warc-target-uri"), "declared_digest": h.get("warc-payload-digest", "").removeprefix("sha1:") or None}
