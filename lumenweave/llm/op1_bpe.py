@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import chunks, drop_path, mix, read_table, written
 
 LEXICON_WORDS = 1 << 16
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 LONG_WORD = 256
 
 
@@ -458,7 +458,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             part = _texts(batch.column(0))
-            for a, b in chunks(part, 4 * CHUNK):
+            for a, b in chunks(part, CHUNK):
                 buf, starts, ends, _ = cut(part[a:b])
                 if not len(starts):
                     continue
@@ -473,7 +473,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 for i, j, c in zip(starts[short].tolist(), ends[short].tolist(), n.tolist()):
                     w = raw[i:j]
                     counts[w] = counts.get(w, 0) + c
-                if len(counts) > 400_000:
+                if len(counts) > 150_000:
                     yield from flush()
         yield from flush()
 
@@ -543,7 +543,7 @@ def encode_texts(docs: DataFrame, text_col: str = "text", vocabulary: str | None
         codec = _codec(path, name)
         for batch in batches:
             texts = _texts(batch.column(batch.num_columns - 1))
-            for a, b in chunks(texts, 4 * CHUNK):
+            for a, b in chunks(texts, CHUNK):
                 ids = codec.encode(texts[a:b])
                 cols = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
                 if digests:
