@@ -6,6 +6,7 @@ place of one row for each signature. A part holds about ``PART_DOCS`` documents'
 Within a bucket (the ids under one signature) of up to ``cold`` ids all pairs are candidates. A larger bucket is *hot*: each id pairs with
 the bucket's smallest only, and every id is told how many hot buckets it is in. A task sends one id only for a signature
 that is hot among its own rows, so a bucket never gathers more ids than there are tasks' flushes times ``cold``.
+With ``members`` the hot buckets' own ids are told in place of those counts.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ BLOB = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary
 BLOB_DDL = "part bigint, kind int, keys binary, ids binary"
 PAIR_DDL = "kind int, a bigint, b bigint, n bigint"
 COLD_PAIR, STAR_PAIR, HOT = 0, 1, 2
+MEMBER = 4  # a hot bucket and an id in it; 3 marks ids that stand for a task's hot buckets
 
 
 def parts_for(docs: DataFrame) -> int:
@@ -63,8 +65,8 @@ def pair_hash(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 class Packer:
-    def __init__(self, parts: int, cold: int):
-        self.parts, self.cold, self.keys, self.ids, self.n = parts, cold, [], [], 0
+    def __init__(self, parts: int, cold: int, members: bool = False):
+        self.parts, self.cold, self.members, self.keys, self.ids, self.n = parts, cold, members, [], [], 0
 
     def add(self, keys: np.ndarray, ids: np.ndarray):
         self.keys.append(keys)
@@ -84,8 +86,11 @@ class Packer:
             a, b, every = _star(ids, start, size, hot)
             a, b, n = _counted([a], [b])
             rows.append((int(keys[0] % np.uint64(self.parts)), STAR_PAIR, np.stack((a, b)).tobytes(), n.tobytes()))
-            who, n = np.unique(every, return_counts=True)
-            rows.append((int(keys[0] % np.uint64(self.parts)), HOT, who.tobytes(), n.astype(np.int64).tobytes()))
+            if self.members:
+                rows.append((int(keys[0] % np.uint64(self.parts)), MEMBER, np.repeat(keys[start[hot]] >> np.uint64(24), size[hot]).tobytes(), every.tobytes()))
+            else:
+                who, n = np.unique(every, return_counts=True)
+                rows.append((int(keys[0] % np.uint64(self.parts)), HOT, who.tobytes(), n.astype(np.int64).tobytes()))
             keep = np.ones(len(keys), bool)
             keep[np.repeat(start[hot], size[hot] - 1) + np.arange((size[hot] - 1).sum()) - np.repeat(np.cumsum(size[hot] - 1) - (size[hot] - 1), size[hot] - 1) + 1] = False
             mark = np.zeros(len(keys), bool)
@@ -106,8 +111,11 @@ class Packer:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 256]), BLOB.types)], schema=BLOB)
 
 
-def candidate_pairs(blobs: DataFrame, cold: int) -> DataFrame:
-    """From packed signatures: rows (kind, a, b, n): COLD_PAIR and STAR_PAIR (a < b share n buckets of this part), HOT (a is in n hot buckets)."""
+def candidate_pairs(blobs: DataFrame, cold: int, members: bool = False) -> DataFrame:
+    """From packed signatures: rows (kind, a, b, n): COLD_PAIR and STAR_PAIR (a < b share n buckets of this part), HOT (a is in n hot buckets).
+
+    With ``members``, as in the Packer, in place of HOT: MEMBER (hot bucket a holds b), rows that may repeat. Buckets are named by 40 bits.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         keys, ids, marks, out = [], [], [], []
@@ -123,6 +131,9 @@ def candidate_pairs(blobs: DataFrame, cold: int) -> DataFrame:
             elif kind == STAR_PAIR:
                 a, b = np.frombuffer(k, np.int64).reshape(2, -1)
                 extra.append((STAR_PAIR, a, b, np.frombuffer(i, np.int64)))
+            elif kind == MEMBER:
+                who = np.frombuffer(i, np.int64)
+                extra.append((MEMBER, np.frombuffer(k, np.int64), who, np.ones(len(who), np.int64)))
             else:
                 who = np.frombuffer(k, np.int64)
                 extra.append((HOT, who, np.zeros(len(who), np.int64), np.frombuffer(i, np.int64)))
@@ -142,11 +153,14 @@ def candidate_pairs(blobs: DataFrame, cold: int) -> DataFrame:
             if len(hot):
                 _, _, every = _star(i, start, size, hot)
                 every_key = np.repeat(k[start[hot]], size[hot])
-                if len(hot_keys):
-                    told = pair_hash(raw_k[raw_m], raw_i[raw_m])
-                    every = every[~np.isin(pair_hash(every_key, every), told)]
-                who, n = np.unique(every, return_counts=True)
-                extra.append((HOT, who, np.zeros(len(who), np.int64), n))
+                if members:
+                    extra.append((MEMBER, every_key.astype(np.int64), every, np.ones(len(every), np.int64)))
+                else:
+                    if len(hot_keys):
+                        told = pair_hash(raw_k[raw_m], raw_i[raw_m])
+                        every = every[~np.isin(pair_hash(every_key, every), told)]
+                    who, n = np.unique(every, return_counts=True)
+                    extra.append((HOT, who, np.zeros(len(who), np.int64), n))
             left, right = [], []
             for s in range(2, cold + 1):
                 at = start[(size == s) & ~is_hot]

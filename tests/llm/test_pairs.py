@@ -191,3 +191,41 @@ def test_line_dedup(spark):
     assert sum(x.n_kept for x in out.values()) == len({got.get(k, k) for k in keys})
     assert sum("the hot line" in (x.text or "") for x in op4.clean_documents(df).distinct().collect()) == 1
     assert op4.per_document(df.limit(0)).count() == 0
+
+
+def template_lines(n=60, seed=6):
+    """Lines under one boilerplate, mutually below the threshold, each with a near copy."""
+    r = random.Random(seed)
+    some = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    head, lines = some(160), []
+    for _ in range(n):
+        tail = some(36)
+        lines += [head + tail, head + tail[:-6] + some(6)]
+    return lines
+
+
+def test_line_dedup_completes_hot_buckets(spark):
+    lines = template_lines()
+    sure = [(a, b) for a in range(len(lines)) for b in range(a) if op4.jaccard(lines[a], lines[b]) >= op4.THRESHOLD]
+    assert len(sure) == len(lines) // 2  # each with its own copy only
+    want = labels(len(lines), sure)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string").repartition(5)
+    got = {x.key: x.component for x in op4.line_components(df).collect()}
+    keys = [op4.line_key(x) for x in lines]
+    assert len({got.get(k, k) for k in keys}) == len(set(want))
+    assert all(got.get(keys[a], keys[a]) == got.get(keys[b], keys[b]) for a, b in sure)
+
+
+def test_near_pairs_never_misses(spark):
+    r = random.Random(8)
+    lines = template_lines(20) + ["short", "shorter line", "shorter lines"]
+    for _ in range(150):
+        x = list(r.choice(lines))
+        for _ in range(r.randrange(0, 4)):
+            x[r.randrange(len(x))] = r.choice("xyz")
+        lines.append("".join(x[r.randrange(0, 3) : len(x) - r.randrange(0, 9)]) or "x")
+    lines = list(dict.fromkeys(lines))
+    df = spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "key long, c long, line string")
+    got = {(x.a, x.b) for x in op4.near_pairs(df, op4.THRESHOLD, tile=16).collect()}
+    sure = {(b, a) for a in range(len(lines)) for b in range(a) if op4.jaccard(lines[a], lines[b]) >= op4.THRESHOLD}
+    assert sure and sure <= got
