@@ -4,9 +4,11 @@ Targets: sources in code point order (null last) weigh 5, 2, 1, repeating, and s
 stops at twice its source's size and the excess is reshared by weight until none is above. That is the level L with
 sum(min(2 * size, L * weight)) = total, found by one ordered pass over the sources.
 
-Schedule: slot n takes the golden-ratio point frac(n * phi), which the cumulative target shares map to a source. Slots are
+Schedule: slot n takes the golden-ratio point frac(n * phi), which the cumulative shares map to a source. A source's share is that of
+the slots that its target needs: K for each full lap, the last of which may be short, and those of the rest. Slots are
 ranked within their source; rank r takes block r mod K of the source's K equal-token blocks, whose order is that of
-the documents shuffled by hash. A source's last slot is cut so that its taken words equal its target.
+the documents shuffled by hash. Slots that the schedule leaves a source short of follow at its end, and a source's last slot
+is cut so that its taken words equal its target.
 
 Both rankings (documents within a source, slots within a source) are done on two levels, chunks and rows within a
 chunk, so no task holds a source. Slots meet sources by an equi-join on cells of [0, 1).
@@ -48,17 +50,19 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     return s.select("source", "source_size", F.least("limit", F.coalesce(F.col("level") * F.col("w"), F.col("limit"))).alias("target"))
 
 
-def schedule(targets: DataFrame, total: float, block: int = BLOCK) -> DataFrame:
-    """Slots (source, rank, blocks, source_size, target): rank counts a source's slots from 0 in the order of the schedule."""
+def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Slots (source, source_size, target, rank): rank counts a source's slots from 0 in the order of the schedule, and reaches its target."""
     spark = targets.sparkSession
-    t = targets.where("target > 0")
+    wanted = F.round("target").cast("long")
+    laps = F.floor(wanted / F.col("source_size"))
+    needed = laps * F.ceil(F.col("source_size") / block) + F.ceil((wanted - laps * F.col("source_size")) / block)
+    targets = targets.where(wanted > 0).withColumn("needed", needed)
     by = Window.orderBy(F.col("source").isNull(), "source")
-    hi = F.sum("target").over(by.rowsBetween(Window.unboundedPreceding, 0))
-    t = t.withColumn("hi", hi / F.lit(total)).withColumn("lo", (F.col("hi") - F.col("target") / F.lit(total)))
+    total = targets.agg(F.sum("needed")).first()[0] or 0
+    t = targets.withColumn("hi", F.sum("needed").over(by.rowsBetween(Window.unboundedPreceding, 0)) / F.lit(float(total)))
     t = t.withColumn("lo", F.coalesce(F.lag("hi").over(by), F.lit(0.0))).withColumn("hi", F.when(F.lead("hi").over(by).isNull(), F.lit(1.0)).otherwise(F.col("hi")))
     cells = t.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.floor(F.col("hi") * CELLS))))
-    n = math.ceil(total / block)
-    n = n + math.ceil(0.01 * n) + 64 * math.ceil(math.log2(n + 2))  # the discrepancy is logarithmic; a source takes no more than its target
+    n = total + math.ceil(0.01 * total) + 64 * math.ceil(math.log2(total + 2)) if total else 0  # the discrepancy is logarithmic; a source takes no more than its target
     # frac(n * phi) in 31-bit integers: exact and without overflow for any n, each full period being perfectly even
     point = ((F.col("id") % (1 << 31)) * F.lit(GOLDEN)) % (1 << 31) / F.lit(float(1 << 31))
     slots = spark.range(n).select(F.col("id").alias("slot"), point.alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
@@ -66,10 +70,13 @@ def schedule(targets: DataFrame, total: float, block: int = BLOCK) -> DataFrame:
     s = s.select("source", "source_size", "target", "slot", "chunk")
     counts = s.groupBy("source", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("source", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    counts = counts.select("source", "chunk", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("source", "chunk").orderBy("slot")
     s = s.withColumn("i", F.row_number().over(within) - 1).alias("s").join(counts.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")) & (F.col("s.chunk") == F.col("c.chunk")))
-    return s.select("s.source", "s.source_size", "s.target", (F.col("before") + F.col("i")).alias("rank"))
+    ranked = s.select("s.source", "s.source_size", "s.target", (F.col("before") + F.col("i")).alias("rank"))
+    given = counts.groupBy("source").agg(F.max(F.col("before") + F.col("n")).alias("given"))
+    short = targets.alias("t").join(given.alias("g"), F.col("t.source").eqNullSafe(F.col("g.source")), "left").withColumn("given", F.coalesce("given", F.lit(0))).where("given < needed")
+    return ranked.union(short.select("t.source", "source_size", "target", F.explode(F.sequence(F.col("given"), F.col("needed") - 1))))
 
 
 def mix_sources(docs: DataFrame, block: int = BLOCK, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
@@ -86,7 +93,6 @@ def mix_sources(docs: DataFrame, block: int = BLOCK, share: float = 1.5, cap: fl
     sums = d.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
     sizes = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
     targets, _ = written(source_targets(sizes, share, cap, weights), "targets")
-    total = targets.agg(F.sum("target")).first()[0] or 0.0
     before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "chunk", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("at"))
     within = Window.partitionBy("source", "chunk").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,8 +103,7 @@ def mix_sources(docs: DataFrame, block: int = BLOCK, share: float = 1.5, cap: fl
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
     # rank r of a source is block r mod K of lap r div K; the words still wanted cut the last slot
     k = F.ceil(F.col("source_size") / block)
-    slots = schedule(targets, total, block) if total > 0 else targets.sparkSession.createDataFrame([], "source string, source_size long, target double, rank long")
-    slots = slots.withColumn("block", F.col("rank") % k).withColumn("start", F.floor(F.col("rank") / k) * F.col("source_size") + F.col("block") * block)
+    slots = schedule(targets, block).withColumn("block", F.col("rank") % k).withColumn("start", F.floor(F.col("rank") / k) * F.col("source_size") + F.col("block") * block)
     width = F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("block") * block)
     slots = slots.withColumn("words", F.least(width, F.round(F.col("target")).cast("long") - F.col("start"))).where("words > 0")
     slots = slots.select("source", "block", "words")

@@ -134,6 +134,19 @@ def test_mixing(spark, block):
     assert mix_sources(df.limit(0)).count() == 0
 
 
+def test_mixing_takes_small_sources_whole(spark):
+    size = {"aa": 2_000_000, "bb": 1_000_000, "m": 300, "n": 1500, "o": 1, "p": 1025, None: 700}
+    rows = [(i, "w " * min(n - a, 100_000), s) for s, n in size.items() for i, a in enumerate(range(0, n, 100_000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, target = dict.fromkeys(size, 0), {}
+    by_size = {n: s for s, n in size.items()}
+    for x in mix_sources(df).collect():
+        taken[by_size[x.source_size]] += x.taken
+        target[by_size[x.source_size]] = x.target
+    want = mixed_by_hand(size)
+    assert all(abs(target[s] - want[s]) < 1e-6 * want[s] and abs(taken[s] - want[s]) <= 1 for s in size)
+
+
 def test_language_model_codes_sum_to_one():
     r = random.Random(3)
     g = np.array([r.choice([97, 98, 99]) << 24 | r.choice([97, 98]) << 16 | r.choice([97, 98, 99]) << 8 | r.choice([97, 98, 99, 100]) for _ in range(300)], np.int64)
