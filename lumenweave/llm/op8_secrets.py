@@ -3,7 +3,8 @@
 Base spans are the leftmost non-overlapping matches of three kinds (assign, access, hex) that pass their length test.
 The method adds spans: a bare 40-character key (kind ``key``) is weak evidence and an address (kind ``endpoint``) none
 by itself, so they are reported only where complementary parts co-occur: a key with an access identifier in its scope,
-an endpoint with an access identifier and a secret (key or assign) in its scope. A scope is a span widened by ``SCOPE``
+an endpoint with an access identifier and a secret (key or assign) in its scope. A key is bounded by its own alphabet only,
+so it may follow ``NAME=`` or end a sentence; ``=`` behind it is padding and not part of its span. A scope is a span widened by ``SCOPE``
 code points on either side, within one document.
 
 Positions: ``(?s)\\G(.*?)(pattern)`` cuts a text into gaps and matches; running sums of their lengths are the
@@ -22,7 +23,7 @@ SCOPE = 500
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-KEY = r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_.-])"
+KEY = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])"
 ENDPOINT = r"(?i:https?|s3|jdbc:[a-z]+|postgres|mysql|mongodb|amqp|redis)://[^\x00-\x20\"'<>]+"
 #: kind, pattern, number of groups before the gap's end, a test that is true of every text with a passing match
 BASE = ("assign", "access", "hex")
