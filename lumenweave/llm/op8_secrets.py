@@ -8,8 +8,9 @@ so it may follow ``NAME=`` or end a sentence; ``=`` behind it is padding and not
 code points on either side, within one document.
 
 Positions: ``(?s)\\G(.*?)(pattern)`` cuts a text into gaps and matches; running sums of their lengths are the
-positions; ``\\G`` lets the text behind the last match fail at once. The interval join is one sweep over a document's spans in order of start with a range frame: each
-span is one row and no pairs are made, whatever the number of spans in a document.
+positions; ``\\G`` lets the text behind the last match fail at once. The interval join is two sweeps over a document's spans, with the running maximum
+of ends from the left and the running minimum of starts from the right: each span is one row and no pairs are made, whatever the
+number of spans in a document.
 """
 
 from __future__ import annotations
@@ -62,9 +63,15 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     kind = F.col("kind")
     ok = (kind == "assign") & (F.col("value") >= 8) | (kind == "access") & (F.col("len") >= 16) | kind.isin("hex", "key", "endpoint")
     s = s.withColumn("ok", F.coalesce(ok, F.lit(False)))
-    near = Window.partitionBy("row").orderBy("start").rangeBetween(-scope, scope)
-    has_access = F.max(F.when(F.col("ok") & (kind == "access"), True)).over(near).isNotNull()
-    has_secret = F.max(F.when(F.col("ok") & kind.isin("key", "assign"), True)).over(near).isNotNull()
+    # a part begins no later than this span and ends in the scope or behind it, or begins no earlier and does so in the scope
+    left = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    right = Window.partitionBy("row").orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def beside(part: Column) -> Column:
+        last, first = F.max(F.when(part, F.col("end"))).over(left), F.min(F.when(part, F.col("start"))).over(right)
+        return F.coalesce(last >= F.col("start") - scope, F.lit(False)) | F.coalesce(first <= F.col("end") + scope, F.lit(False))
+
+    has_access, has_secret = beside(F.col("ok") & (kind == "access")), beside(F.col("ok") & kind.isin("key", "assign"))
     report = kind.isin(*BASE) | (kind == "key") & has_access | (kind == "endpoint") & has_access & has_secret
     shown = F.col("ok") & F.coalesce(report, F.lit(False))
     return s.select("row", "doc_id", F.when(shown, kind).alias("kind"), F.when(shown, F.col("start")).alias("start"), F.when(shown, F.col("end")).alias("end"))
