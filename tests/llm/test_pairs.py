@@ -229,3 +229,25 @@ def test_near_pairs_never_misses(spark):
     got = {(x.a, x.b) for x in op4.near_pairs(df, op4.THRESHOLD, tile=16).collect()}
     sure = {(b, a) for a in range(len(lines)) for b in range(a) if op4.jaccard(lines[a], lines[b]) >= op4.THRESHOLD}
     assert sure and sure <= got
+
+
+def test_line_dedup_links_short_lines(spark):
+    r = random.Random(10)
+    some = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    pairs = []
+    for k in (1, 2, 3, 4):  # 7 * k shingles each, of which all but k are shared: Jaccard 0.75
+        for _ in range(100):
+            x = some(7 * k)
+            tail = some(7 - k)
+            pairs.append((x + tail + "1" * k, x + tail + "2" * k))
+    for _ in range(50):  # a short line and one over SHORT shingles, and one that repeats few shingles often
+        x = some(38)
+        pairs.append((x, x + some(8)))
+        y = some(12)
+        pairs.append((y * 9, y * 7 + some(3)))
+    assert all(op4.jaccard(a, b) >= op4.THRESHOLD for a, b in pairs)
+    lines = [x for p in pairs for x in p]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)
+    got = {x.key: x.component for x in op4.line_components(df).collect()}
+    missed = [len(a) for a, b in pairs if got.get(op4.line_key(a), 0) != got.get(op4.line_key(b), 1)]
+    assert not missed
