@@ -1,11 +1,11 @@
-"""Exact dedup by a tree-merge of sorted digest runs; DataFrame functions only.
-
-Every row gets the SHA-256 of its text after lower-casing A-Z. Rows are dealt into ``runs`` runs; a run holds one
-row per digest with the best identifier and a count. In each round ``fan_in`` neighbouring runs merge (run r of a
-round goes to r // fan_in), keeping per digest one verified identifier, until one logical run is left. A run is
-sorted by digest and spread over all tasks by (run, digest), so the last rounds are as parallel as the first; and
-since a digest has at most one row in each run, a group of copies that holds a third of all rows shrinks by
-``fan_in`` in each round instead of meeting in one task.
+"""Exact dedup by a tree of hash aggregations over digests; DataFrame functions only.
+
+Every row gets the SHA-256 of its text after lower-casing A-Z. Rows are dealt by a hash of their id into ``runs`` runs; a run holds
+one row per digest with the best identifier and a count. In each round ``fan_in`` neighbouring runs merge (run r of a
+round goes to r // fan_in), keeping per digest one verified identifier, until one logical run is left. No run is sorted and
+there is no multiway merge: a hash aggregation by (run, digest) stands in for it, since it gives the same rows and spreads over all
+tasks, so the last rounds are as parallel as the first; and since a digest has at most one row in each run, a group of
+copies that holds a third of all rows shrinks by ``fan_in`` in each round instead of meeting in one task.
 
 Verified: byte length and an independent 64-bit hash of the text travel with the digest and belong to the key.
 """
