@@ -20,12 +20,20 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PRIME = 0x9E3779B97F4A7C15 | 1
 CHUNK_BYTES = 1 << 20
+BATCH_BYTES = "8m"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES``, unless the session names another size than Spark's own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only where the session names none, as in tests, one is made."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -150,6 +158,25 @@ def as_bytes(texts: list) -> list[bytes]:
 # --- connected components ----------------------------------------------------------------------------------
 
 
+class Forest:
+    """Union-find on the rows of one task; batches of edges are joined by repeated minimum labels."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        root = self.root
+        while True:
+            ra, rb = root[a], root[b]
+            differ = ra != rb
+            if not differ.any():
+                return
+            hi, lo = np.maximum(ra, rb)[differ], np.minimum(ra, rb)[differ]
+            np.minimum.at(root, hi, lo)
+            while (up := root[root]).tobytes() != root.tobytes():
+                root[:] = up
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Distributed union-find over edges between long ids: rows (node, component), component the smallest node reachable.
 

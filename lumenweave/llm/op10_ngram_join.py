@@ -9,9 +9,8 @@ For each band the costs of allocations (m, exact or with one-deletion) are compa
 chance of sets with too little worth. Such sets index each of their shingles singly as well, which finds any pair.
 
 Heat: a bucket of over ``COLD`` sets is hot, and gives a star of candidates only. If a set's worth without its hot buckets
-still exceeds H, its links are found in the cold ones. Sets for which it does not are completed in a second step, on
-their rare shingles, and where even those do not suffice (nearly all of the set is shared by many others) by comparing
-different components within the hot buckets: copies have become one component by then.
+still exceeds H, its links are found in the cold ones. Sets for which it does not are completed in a second step (see families.py),
+which finds what joins different components: copies have become one component by then.
 
 Every pair is verified on the sets of 64-bit shingle hashes.
 """
@@ -26,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .buckets import BLOB_DDL, BROADCAST_IDS, COLD_PAIR, HOT, Packer, candidate_pairs, parts_for
-from .common import U64, as_bytes, components, drop_path, mix, read_table, shingle_sets, written
+from .common import U64, as_bytes, components, drop_path, mix, read_table, shingle_sets, small_batches, written
+from .families import family_links
 
 COLD = 16
 N = 5
@@ -204,6 +204,7 @@ def ngram_components(docs: DataFrame, cold: int = COLD) -> DataFrame:
     Empty input gives an empty result; extra columns are ignored.
     """
     docs = docs.select("doc_id", "text")
+    small_batches(docs.sparkSession)
     table, _ = written(set_table(docs), "sets")
     one = F.min(F.struct("n_shingles", "k1", "k2", "spare")).alias("x")
     used = table.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(one).select("doc_id", "x.*")
@@ -239,7 +240,7 @@ def ngram_components(docs: DataFrame, cold: int = COLD) -> DataFrame:
     heated, _ = written(ends.join(hot, "doc_id", "left_semi").where("need <= 0").select("doc_id"), "heated")
     if not heated.isEmpty():
         comp, _ = written(components(edges), "components")
-        edges = edges.union(_completed(docs, heated, reps, comp, cold))
+        edges = edges.union(_completed(docs, heated, reps, comp))
     drop_path(docs.sparkSession, found_path, pairs_path)
     links = edges.union(copies.where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     comp = components(links)
@@ -247,29 +248,11 @@ def ngram_components(docs: DataFrame, cold: int = COLD) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _completed(docs: DataFrame, heated: DataFrame, reps: DataFrame, comp: DataFrame, cold: int) -> DataFrame:
-    """Links among heated sets that are still in different components, from their shingles taken singly.
-
-    Of a set's shingles that do not occur in over ``cold`` heated sets, a partner must share one, unless the frequent
-    ones alone reach the threshold. Those few sets are compared within the components' representatives of equal frequent shingles.
-    """
+def _completed(docs: DataFrame, heated: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
+    """Links among heated sets that are still in different components: both ends of such a link are heated."""
     sets, _ = written(_sets(speaking(docs, heated, reps)), "heated-sets")
-    rows = sets.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("c"), F.size("h").alias("size"), F.explode("h").alias("t"))
-    counts = rows.groupBy("t").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
-    shared = rows.join(counts.select("t", "n"), "t")
-    rare = shared.where(F.col("n") <= cold).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("doc_id", "c", "size"))).alias("m"))
-    two = rare.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where("x.doc_id < y.doc_id and x.c <> y.c")
-    near = lambda x, y: (F.least(x, y) * DEN >= F.greatest(x, y) * NUM)
-    pairs = two.where(near(F.col("x.size"), F.col("y.size"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    # mostly frequent shingles: |frequent| >= 3/4 of the set; among those, ends of different components under one frequent shingle each
-    warm = shared.where(F.col("n") > cold)
-    mostly = warm.groupBy("doc_id", "c", "size").agg(F.count("*").alias("f"), F.array_sort(F.collect_list(F.struct("n", "t"))).alias("ts")).where(F.col("f") * DEN >= F.col("size") * NUM)
-    # a set loses at most a quarter of its shingles, so at most a third of its f frequent ones, to a partner: they share one of the rarest f / 3 + 1 of each
-    prefix = mostly.select("doc_id", "c", "size", F.explode(F.slice("ts", F.lit(1), (F.floor(F.col("f") / 3) + 1).cast("int"))).alias("nt")).select("doc_id", "c", "size", "nt.t")
-    left, right = prefix.alias("x"), prefix.alias("y")
-    frequent = left.join(right, F.col("x.t") == F.col("y.t")).where("x.doc_id < y.doc_id and x.c <> y.c").where(near(F.col("x.size"), F.col("y.size"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    out, _ = written(verified(pairs.union(frequent).distinct(), docs, reps), "edges")
-    return out
+    every = sets.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return family_links(every.select(F.col("doc_id").alias("id"), F.coalesce("component", "doc_id").alias("c"), "h"), NUM, DEN)
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

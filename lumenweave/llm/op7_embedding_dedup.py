@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, read_table, written
+from .common import Forest, components, read_table, written
 
 TILE = 4096
 STRIP = 512
@@ -35,25 +35,6 @@ def blocks(dim: int, width: int = BLOCK_DIMS) -> list[slice]:
     return [slice(a, min(a + width, dim)) for a in range(0, dim, width)]
 
 
-class Forest:
-    """Union-find on the rows of one tile pair; batches of edges are joined by repeated minimum labels."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        root = self.root
-        while True:
-            ra, rb = root[a], root[b]
-            differ = ra != rb
-            if not differ.any():
-                return
-            hi, lo = np.maximum(ra, rb)[differ], np.minimum(ra, rb)[differ]
-            np.minimum.at(root, hi, lo)
-            while (up := root[root]).tobytes() != root.tobytes():
-                root[:] = up
-
-
 def join_tiles(x: np.ndarray, y: np.ndarray | None, budgets: list[float], rot: np.ndarray, cosine: float):
     """Links of each row of x, of each row of y (or None: x with itself), and forest edges (i, j) over the rows of x, then y."""
     same = y is None
