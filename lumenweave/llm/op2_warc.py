@@ -11,15 +11,18 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, read_table
+from .common import new_path, read_table, small_batches, written
 
 MIN_REVISIT = 1000
 RECORDS_PER_FILE = 6000
+BROADCAST_ROWS = 200_000  # of about 150 bytes
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -41,15 +44,31 @@ def _record(kind: str | Column, headers: dict[str, Column], block: Column) -> Co
     return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), block)
 
 
+def first_copies(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """(rid, first) of the rows that are revisits: their record's id, and (page_id, id) of the response that holds their payload.
+
+    Only identifiers, digests and lengths are shuffled, never a payload; rows of one payload meet by partial aggregation and a join on the digest.
+    """
+    html = F.coalesce(F.col("html"), F.lit(""))
+    p = pages.select("page_id", _uuid(F.lit("response"), F.col("capture_key")).alias("rid"), F.octet_length(html).cast("long").alias("n"), F.sha1(html.cast("binary")).alias("sha1")).where(F.col("n") >= min_revisit)
+    p, _ = written(p, "digests")
+    # the winner's two parts fit fixed-width buffers only one after the other; a null page_id never wins against an id
+    copies = p.groupBy("sha1", "n").agg(F.max("page_id").alias("page_id"), F.count("*").alias("copies")).where("copies > 1").select("sha1", "n", "page_id")
+    among = p.join(copies.withColumnRenamed("page_id", "best"), ["sha1", "n"])
+    ids = among.where(F.col("page_id").eqNullSafe(F.col("best"))).groupBy("sha1", "n").agg(F.max("rid").alias("best_id"))
+    others = among.join(ids, ["sha1", "n"]).where("rid <> best_id")
+    out, _ = written(others.select("rid", F.struct(F.col("best").alias("page_id"), F.col("best_id").alias("id")).alias("first")), "revisits")
+    return out
+
+
 def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """One column ``value``: the text of each WARC record, three for every row of pages(page_id, url, html, capture_key)."""
-    p = pages.select("page_id", "url", "capture_key", F.coalesce("html", F.lit("")).alias("html"))
+    revisits = first_copies(pages, min_revisit)
+    p = pages.select("page_id", "url", "capture_key", _uuid(F.lit("response"), F.col("capture_key")).alias("rid"), F.coalesce("html", F.lit("")).alias("html"))
+    # beyond the bound the rows are dealt by their own identifier, evenly however popular a payload is
+    p = p.join(F.broadcast(revisits) if revisits.count() <= BROADCAST_ROWS else revisits, "rid", "left")
     p = p.withColumn("n", F.octet_length("html").cast("long")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    rid = _uuid(F.lit("response"), F.col("capture_key"))
-    best = F.max(F.struct("page_id", rid.alias("id")))
-    first = p.where(F.col("n") >= min_revisit).groupBy("sha1", "n").agg(best.alias("first"), F.count("*").alias("copies")).where("copies > 1").select("sha1", "n", "first")
-    p = p.join(first, ["sha1", "n"], "left").withColumn("rid", rid)
-    other = F.coalesce(F.col("first.id") != F.col("rid"), F.lit(False))
+    other = F.col("first").isNotNull()
     uri, digest = _one_line(F.col("url")), F.concat(F.lit("sha1:"), F.col("sha1"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit("\r\n\r\n"))
     answer = _record(
@@ -65,23 +84,25 @@ def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, per_file: int = RECORDS_PER_FILE) -> None:
+    """Gzipped WARC files of at most ``per_file`` records each."""
     records(pages, min_revisit).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
-def parse(data: bytes):
-    """(headers with lower-case names, block) of each record of a WARC file."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/1."):
-            raise ValueError(f"no WARC record at byte {at}")
-        h = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        n = int(h["content-length"])
-        yield h, data[end + 4 : end + 4 + n]
-        if data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} does not end after its Content-Length")
-        at = end + 8 + n
+def parse(stream: BinaryIO):
+    """(headers with lower-case names, block) of each record of a WARC file, one record in memory at a time."""
+    number = 0
+    while line := stream.readline():
+        number += 1
+        if not line.startswith(b"WARC/1."):
+            raise ValueError(f"record {number} does not begin as a WARC record")
+        h = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            k, _, v = line.decode("utf-8", "replace").removesuffix("\r\n").partition(": ")
+            h[k.lower()] = v
+        block = stream.read(int(h["content-length"]))
+        if len(block) != int(h["content-length"]) or stream.read(4) != b"\r\n\r\n":
+            raise ValueError(f"record {number} does not end after its Content-Length")
+        yield h, block
 
 
 _FIELDS = [("kind", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.string()), ("target_uri", pa.string()), ("refers_to_page", pa.int64()), ("declared_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("fields", pa.string())]
@@ -94,7 +115,8 @@ def _read(payloads: bool):
         for batch in batches:
             for content in batch.column(0):
                 out = []
-                for h, block in parse(gzip.decompress(content.as_py())):
+                size = 0
+                for h, block in parse(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer()))):
                     kind, payload = h["warc-type"], b""
                     body = block.split(b"\r\n\r\n", 1)[1] if kind in ("response", "revisit") else None
                     x = {"kind": kind, "record_id": h["warc-record-id"], "concurrent_to": h.get("warc-concurrent-to"), "target_uri": h.get("warc-target-uri"), "declared_digest": h.get("warc-payload-digest", "").removeprefix("sha1:") or None}
@@ -110,9 +132,10 @@ def _read(payloads: bool):
                     if payloads:
                         x["payload"] = payload
                     out.append(x)
-                    if len(out) >= 500:
+                    size += len(x.get("payload", b""))
+                    if len(out) >= 500 or size > 1 << 22:
                         yield pa.RecordBatch.from_pylist(out, schema)
-                        out = []
+                        out, size = [], 0
                 yield pa.RecordBatch.from_pylist(out, schema)
 
     ddl = "kind string, record_id string, concurrent_to string, target_uri string, refers_to_page bigint, declared_digest string, payload_bytes bigint, payload_digest string, fields string"
@@ -122,6 +145,7 @@ def _read(payloads: bool):
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row per WARC record under ``path``; a response's digest and length are computed from the bytes read and checked."""
     rows, ddl = _read(payloads)
+    small_batches(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, ddl)
 
 
