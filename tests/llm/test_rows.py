@@ -147,14 +147,51 @@ def test_mixing_takes_small_sources_whole(spark):
     assert all(abs(target[s] - want[s]) < 1e-6 * want[s] and abs(taken[s] - want[s]) <= 1 for s in size)
 
 
-def test_language_model_codes_sum_to_one():
+class PlainPPM:
+    """Counts in dictionaries and one byte at a time."""
+
+    def __init__(self, texts):
+        self.count = {}
+        for t in texts:
+            buf = b"\0\0\0" + t
+            for i in range(3, len(buf)):
+                if buf[i]:
+                    for k in range(4):
+                        c = self.count.setdefault(buf[i - k : i], {})
+                        c[buf[i]] = c.get(buf[i], 0) + 1
+
+    def distribution(self, context):
+        lower = self.distribution(context[1:]) if context else [1 / 256] * 256
+        seen = self.count.get(context)
+        if not seen:
+            return lower
+        n, q = sum(seen.values()), len(seen)
+        mass = sum(p for b, p in enumerate(lower) if b not in seen)
+        return [seen[b] / (n + (q if mass else 0)) if b in seen else q / (n + q) * lower[b] / mass for b in range(256)]
+
+    def bits(self, text):
+        buf = b"\0\0\0" + text
+        return sum(-np.log2(self.distribution(buf[i - 3 : i])[buf[i]]) for i in range(3, len(buf)))
+
+
+def test_language_model_is_plain_ppm(spark):
     r = random.Random(3)
-    g = np.array([r.choice([97, 98, 99]) << 24 | r.choice([97, 98]) << 16 | r.choice([97, 98, 99]) << 8 | r.choice([97, 98, 99, 100]) for _ in range(300)], np.int64)
-    u, n = np.unique(g, return_counts=True)
-    m = op5.Model(["x"], [(u, n)])
-    p = np.exp2(-m.bits.reshape(m.nodes, m.size).astype(float))
-    unseen = 256 - len(np.unique(u & 255))
-    assert np.allclose(p[:, 2:].sum(1) + unseen * p[:, 1], 1, atol=1e-4)
+    some = lambda letters, n: "".join(r.choice(letters) for _ in range(n)).encode()
+    learned = {"x": [some("aabcd é", r.randrange(40)) for _ in range(30)] + [b"\0a\0", b""], "y": [some("abcz", r.randrange(60)) for _ in range(20)], "z": [bytes(range(1, 256)) * 2]}
+    rows = spark.createDataFrame([(k, t.decode("latin-1") if k == "z" else t.decode()) for k, v in learned.items() for t in v], "lang string, text string")
+    learned["z"] = [learned["z"][0].decode("latin-1").encode()]
+    got = op5.count_grams(rows).toPandas()
+    m = op5.Model(["x", "y", "z"], [(got.gram[got.lang == k].to_numpy(), got.n[got.lang == k].to_numpy()) for k in "xyz"])
+    probe = [some("abcdeé z", n) for n in (0, 1, 2, 3, 7, 50)] + [b"\0\0\0", b"\0", b"a\0\0\0\0b", bytes([200, 255, 1]), learned["x"][3], learned["z"][0][:90]]
+    plain = [PlainPPM(learned[k]) for k in "xyz"]
+    want = [[p.bits(t) for p in plain] for t in probe]
+    assert np.allclose(m.lengths(probe), want, rtol=1e-5, atol=1e-4)
+    one = [m.lengths([t])[0] for t in probe]
+    assert np.allclose(one, want, rtol=1e-5, atol=1e-4)
+    for p in plain:
+        assert abs(sum(p.distribution(b"aab")) - 1) < 1e-9
+    long = (some("abcdeé z", 600) * 600)[: 1 << 19]
+    assert np.allclose(m.lengths([long, b"ab"]), [m.lengths([long])[0], m.lengths([b"ab"])[0]], rtol=1e-6)
 
 
 def test_language_identification(spark):
