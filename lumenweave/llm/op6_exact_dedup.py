@@ -1,21 +1,22 @@
-"""Exact dedup by a tree of hash aggregations over digests; DataFrame functions only.
+"""Exact dedup by a tree-merge of sorted digest runs; DataFrame functions only.
 
-Every row gets the SHA-256 of its text after lower-casing A-Z. Rows are dealt by a hash of their id into ``runs`` runs; a run holds
-one row per digest with the best identifier and a count. In each round ``fan_in`` neighbouring runs merge (run r of a
-round goes to r // fan_in), keeping per digest one verified identifier, until one logical run is left. No run is sorted and
-there is no multiway merge: a hash aggregation by (run, digest) stands in for it, since it gives the same rows and spreads over all
-tasks, so the last rounds are as parallel as the first; and since a digest has at most one row in each run, a group of
-copies that holds a third of all rows shrinks by ``fan_in`` in each round instead of meeting in one task.
+Every row gets the SHA-256 of its text after lower-casing A-Z, once: identifiers and digests are written. The digests of a partition
+form its run, one row per digest with the best identifier and a count. In each round ``fan_in`` neighbouring runs are exchanged and merged (run r goes
+to r // fan_in): they come in order of (run, digest), and one pass over that order keeps per digest one verified identifier, until one run is left. A run
+is itself spread over tasks by its digests, so the last rounds are as parallel as the first; and since a digest has at most one row
+in each run, a group of copies that holds a third of all rows shrinks by ``fan_in`` in each round instead of meeting in one task.
+
+Spark sorts what a task receives; it has no merge that takes the runs as already sorted.
 
 Verified: byte length and an independent 64-bit hash of the text travel with the digest and belong to the key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, read_table
+from .common import ascii_lower, read_table, written
 
 RUNS, FAN_IN = 64, 8
 
@@ -30,13 +31,16 @@ def merged_runs(d: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN, keep: str
     """One row per digest: digest, size, check, keep_id, group_size."""
     key = ["digest", "size", "check"]
     best = {"max": F.max, "min": F.min}[keep]
-    cur = d.withColumn("run", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(runs)))
+    cur = d.withColumn("run", F.pmod(F.spark_partition_id(), F.lit(runs)))
     cur = cur.groupBy("run", *key).agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    first = F.col("keep_id").desc_nulls_last() if keep == "max" else F.col("keep_id").asc_nulls_last()
     left = runs
     while left > 1:
         left = -(-left // fan_in)
-        cur = cur.withColumn("run", F.floor(F.col("run") / fan_in)) if left > 1 else cur.withColumn("run", F.lit(0))
-        cur = cur.groupBy("run", *key).agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        # the runs that meet are in order of digest together, and a window passes over that order once
+        cur = cur.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).repartition("run", *key).sortWithinPartitions("run", *key, first)
+        same = Window.partitionBy("run", *key)
+        cur = cur.withColumns({"i": F.row_number().over(same.orderBy(first)), "group_size": F.sum("group_size").over(same)}).where("i = 1").drop("i")
     return cur.drop("run")
 
 
@@ -48,7 +52,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keeps none of its rows. Repeated rows with the winning id are all marked kept, as no column tells them apart.
     Empty input gives an empty result. Extra columns are ignored.
     """
-    d = digests(docs, id_col, text_col)
+    d, _ = written(digests(docs, id_col, text_col), "digests")
     groups = merged_runs(d, runs, fan_in, keep)
     # a plain equi-join: the copies of one digest are a skewed side that Spark splits at run time
     out = d.join(groups, ["digest", "size", "check"])
