@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import mix, partitions
 
 PART_DOCS = 2000
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 BLOB = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
 BLOB_DDL = "part bigint, kind int, keys binary, ids binary"
 PAIR_DDL = "kind int, a bigint, b bigint, n bigint"

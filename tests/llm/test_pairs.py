@@ -10,6 +10,7 @@ import pytest
 from lumenweave.llm import op4_line_dedup as op4
 from lumenweave.llm import op10_ngram_join as op10
 from lumenweave.llm.common import components, shingle_sets
+from lumenweave.llm.families import family_links
 from lumenweave.llm.op6_exact_dedup import exact_dedup
 from lumenweave.llm.op7_embedding_dedup import near_duplicate_vectors
 
@@ -216,7 +217,7 @@ def test_line_dedup_completes_hot_buckets(spark):
     assert all(got.get(keys[a], keys[a]) == got.get(keys[b], keys[b]) for a, b in sure)
 
 
-def test_near_pairs_never_misses(spark):
+def test_hot_lines_are_joined_exactly(spark):
     r = random.Random(8)
     lines = template_lines(20) + ["short", "shorter line", "shorter lines"]
     for _ in range(150):
@@ -226,9 +227,34 @@ def test_near_pairs_never_misses(spark):
         lines.append("".join(x[r.randrange(0, 3) : len(x) - r.randrange(0, 9)]) or "x")
     lines = list(dict.fromkeys(lines))
     df = spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "key long, c long, line string")
-    got = {(x.a, x.b) for x in op4.near_pairs(df, op4.THRESHOLD, tile=16).collect()}
-    sure = {(b, a) for a in range(len(lines)) for b in range(a) if op4.jaccard(lines[a], lines[b]) >= op4.THRESHOLD}
-    assert sure and sure <= got
+    got = [(x.a, x.b) for x in family_links(op4._sets(df), 3, 4, tile=16).collect()]
+    sure = [(a, b) for a in range(len(lines)) for b in range(a) if op4.jaccard(lines[a], lines[b]) >= op4.THRESHOLD]
+    assert sure and labels(len(lines), got) == labels(len(lines), sure)
+
+
+@pytest.mark.parametrize("n", [190, 600])
+def test_line_dedup_finds_families_of_mutants(spark, n):
+    r = random.Random(n)
+    lines = ["".join(r.choice("abcdefghij klmnopq") for _ in range(80)).strip()]
+    while len(lines) < n:  # a random tree of mutants, each at 0.75 or more from its parent
+        x = list(r.choice(lines))
+        x[r.randrange(len(x))] = r.choice("rstuvwxyz")
+        if len(x := "".join(x)) and x not in lines:
+            lines.append(x)
+    sure = [(a, b) for a in range(n) for b in range(a) if op4.jaccard(lines[a], lines[b]) >= op4.THRESHOLD]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    got = {x.key: x.component for x in op4.line_components(df).collect()}
+    keys = [op4.line_key(x) for x in lines]
+    linked = [got.get(keys[a], keys[a]) == got.get(keys[b], keys[b]) for a, b in sure]
+    assert sum(linked) >= 0.98 * len(linked)
+
+
+def test_line_dedup_odd_rows(spark):
+    long = "Ab c" * 60_000
+    rows = [(None, "the line of a row without an id", 0), (3, long, 0), (4, f"x\n{long.lower()}", 0), (5, "É É É É É É É É", 0), (6, "é é é é é é é é", 0), (7, "twice\nTWICE", 0), (7, "another text", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept int").repartition(3)
+    got = sorted((str(x.doc_id), x.n_lines, x.kept_lines) for x in op4.per_document(df).collect())
+    assert got == [("3", 1, "0"), ("4", 2, "0"), ("5", 1, "0"), ("6", 1, "0"), ("7", 1, "0"), ("7", 2, "0"), ("None", 1, "0")]
 
 
 def test_line_dedup_links_short_lines(spark):
