@@ -257,3 +257,16 @@ def _completed(docs: DataFrame, heated: DataFrame, reps: DataFrame, comp: DataFr
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(read_table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+     s as materialized (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+           else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) end) as g from w),
+     n as materialized (select doc_id, count(*) as n from s group by doc_id),
+     same as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
+     links as materialized (select a, b from same join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+     reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach r join links l on r.b = l.a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, t.component_id
+from documents d join (select a, min(b) as component_id from reach group by a) t on t.a = d.doc_id left join n on n.doc_id = d.doc_id
+"""

@@ -5,7 +5,7 @@ into blocks of a few dimensions, and the budget is shared over the blocks in pro
 has in them. Two vectors within the whole budget are within their share in at least one block, so the union of the
 blocks' range joins holds every link; its pairs are verified by their cosine in double precision.
 
-The range joins run on pairs of tiles of about ``TILE`` vectors, each pair in a task of its own, in strips of rows, so memory
+The range joins run on pairs of tiles of about ``TILE`` vectors, each pair in a task of its own, in strips along the block's widest coordinate, so memory
 is bounded and no pair leaves a task: it returns each vector's number of links and a spanning forest of the pair's
 links, at most one edge a vector. Components are then joined by distributed union-find. A group of copies, even of a third of
 all vectors, is spread over many tiles like all others.
@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, components, read_table, written
+from .common import Forest, components, read_table, small_batches, written
 
 TILE = 4096
 STRIP = 512
 BLOCK_DIMS = 16
+MAX_DIMS = 1000
+MAX_TASKS = 20_000
 SLACK = 1e-4  # what single precision in the range joins may err
 
 
@@ -35,6 +37,24 @@ def blocks(dim: int, width: int = BLOCK_DIMS) -> list[slice]:
     return [slice(a, min(a + width, dim)) for a in range(0, dim, width)]
 
 
+def range_join(left: np.ndarray, right: np.ndarray, budget: float):
+    """Pairs (i, j) of rows whose squared distance is at most the budget, in bounded lots.
+
+    Both sides are taken in order of their widest coordinate, and a strip of the one meets only those of the other within the budget's radius of it.
+    """
+    wide = int(np.argmax(left.var(0) + right.var(0)))
+    at, to = np.argsort(left[:, wide], kind="stable"), np.argsort(right[:, wide], kind="stable")
+    x, y = left[at], right[to]
+    x2, y2, reach = (x**2).sum(1), (y**2).sum(1), (budget + SLACK) ** 0.5 + SLACK
+    for a in range(0, len(x), STRIP):
+        b = min(a + STRIP, len(x))
+        lo = int(np.searchsorted(y[:, wide], x[a, wide] - reach, side="left"))
+        hi = int(np.searchsorted(y[:, wide], x[b - 1, wide] + reach, side="right"))
+        # |l - r|^2 <= budget  <=>  2 l.r - |r|^2 >= |l|^2 - budget
+        i, j = np.nonzero((2 * x[a:b]) @ y[lo:hi].T - y2[lo:hi] >= (x2[a:b] - budget - SLACK)[:, None])
+        yield at[i + a], to[j + lo]
+
+
 def join_tiles(x: np.ndarray, y: np.ndarray | None, budgets: list[float], rot: np.ndarray, cosine: float):
     """Links of each row of x, of each row of y (or None: x with itself), and forest edges (i, j) over the rows of x, then y."""
     same = y is None
@@ -42,21 +62,17 @@ def join_tiles(x: np.ndarray, y: np.ndarray | None, budgets: list[float], rot: n
     rx, ry = (x @ rot).astype(np.float32), (y @ rot).astype(np.float32)
     nx, ny = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
     forest = Forest(len(x) if same else len(x) + len(y))
-    cuts = blocks(x.shape[1])
-    ny2 = [(ry[:, c] ** 2).sum(1) for c in cuts]
+    # the union of the blocks' candidates, one bit a pair of the tiles
+    near = np.zeros((len(x), len(y)), bool)
+    for c, budget in zip(blocks(x.shape[1]), budgets):
+        for i, j in range_join(rx[:, c], ry[:, c], budget):
+            near[i, j] = True
     for a in range(0, len(x), STRIP):
-        b = min(a + STRIP, len(x))
-        first = a if same else 0
-        near = np.zeros((b - a, len(y) - first), bool)
-        for c, budget, n2 in zip(cuts, budgets, ny2):
-            left = rx[a:b, c]
-            # |l - r|^2 <= budget  <=>  2 l.r - |r|^2 >= |l|^2 - budget
-            near |= (2 * left) @ ry[first:, c].T - n2[first:] >= ((left**2).sum(1) - budget - SLACK)[:, None]
-        i, j = np.nonzero(near)
+        i, j = np.nonzero(near[a : a + STRIP])
+        i += a
         if same:
             keep = i < j
             i, j = i[keep], j[keep]
-        i, j = i + a, j + first
         for s in range(0, len(i), 1 << 16):
             p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
             ok = np.einsum("ij,ij->i", x[p], y[q]) >= cosine
@@ -82,7 +98,10 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     v = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
     usable = F.col("x").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf"))) & F.exists("x", lambda e: e != 0)
     good = v.where(F.col("vec_id").isNotNull() & F.coalesce(usable, F.lit(False)))
-    sizes = good.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n"))
+    small_batches(spark)
+    sizes, _ = written(good.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n")), "sizes")
+    known = sizes.count()  # as a rule one dimension
+    of_dim = lambda df: F.broadcast(df) if known <= MAX_DIMS else df
 
     def pack(batches):
         for batch in batches:
@@ -103,18 +122,20 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
             yield pa.RecordBatch.from_pylist(out, pa.schema([("dim", pa.int32()), ("tile", pa.int64()), ("ids", pa.binary()), ("x", pa.binary()), ("energy", pa.list_(pa.float64()))]))
 
     tiles_of = F.greatest(F.lit(1), F.ceil(F.col("n") / tile))
-    keyed = good.withColumn("dim", F.size("x")).join(sizes, "dim")
+    keyed = good.withColumn("dim", F.size("x")).join(of_dim(sizes), "dim")
     keyed = keyed.select("vec_id", "x", "dim", F.pmod(F.xxhash64("vec_id"), tiles_of).alias("tile"))
     packed, path = written(keyed.mapInArrow(pack, "dim int, tile bigint, ids binary, x binary, energy array<double>"), "tiles")
     energy = packed.select("dim", F.posexplode("energy").alias("k", "e")).groupBy("dim", "k").agg(F.sum("e").alias("e")).groupBy("dim").agg(F.array_sort(F.collect_list(F.struct("k", "e"))).alias("energy"))
     # the parts of a tile meet as binary pieces; a tile is about ``tile`` vectors whatever the data
     whole = packed.groupBy("dim", "tile").agg(F.collect_list(F.struct("ids", "x")).alias("parts"))
-    count = packed.select("dim", "tile").distinct().groupBy("dim").agg(F.sort_array(F.collect_set("tile")).alias("all"))
-    info = count.join(energy, "dim")
+    counts = sizes.select("dim", tiles_of.cast("long").alias("tiles"))
+    info = energy.join(of_dim(counts), "dim")
     # each tile is sent once to every pair of tiles that it is in: the pairs' number is that of all tiles squared over two
-    to = whole.join(info, "dim").select("dim", "tile", "parts", "energy", F.explode("all").alias("other"))
+    to = whole.join(of_dim(info), "dim").select("dim", "tile", "parts", "energy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
     to = to.select("dim", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "parts", "energy")
-    pairs = to.groupBy("dim", "p", "q").agg(F.collect_list(F.struct("tile", "parts")).alias("sides"), F.first(F.col("energy.e")).alias("energy"))
+    # a task a pair, as far as that goes: a pair is much work for little data
+    spread = min(MAX_TASKS, int(counts.agg(F.sum(F.col("tiles") * (F.col("tiles") + 1) / 2)).first()[0] or 1))
+    pairs = to.repartition(spread, "dim", "p", "q").groupBy("dim", "p", "q").agg(F.collect_list(F.struct("tile", "parts")).alias("sides"), F.first(F.col("energy.e")).alias("energy"))
 
     def load(parts):
         ids = np.frombuffer(b"".join(s["ids"] for s in parts), "<i8")
@@ -148,3 +169,16 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+SQL = """
+with recursive v as (select vec_id, cast(embedding as double[]) as x from embeddings where embedding is not null and vec_id is not null
+           and len(embedding) > 0 and len(list_filter(embedding, lambda e: e is null or isnan(e) or isinf(e))) = 0 and len(list_filter(embedding, lambda e: e <> 0)) > 0),
+     links as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on len(a.x) = len(b.x) and a.vec_id <> b.vec_id
+           where list_cosine_similarity(a.x, b.x) >= 0.9),
+     reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach r join links l on r.b = l.a),
+     least as (select a, min(b) as component_id from reach group by a),
+     n as (select a, count(*) as n_links from links group by a)
+select e.vec_id, coalesce(n.n_links, 0) as n_links, least.component_id, e.vec_id = least.component_id as kept
+from embeddings e join least on e.vec_id = least.a left join n on n.a = e.vec_id
+"""

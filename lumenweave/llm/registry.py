@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from . import op6_exact_dedup as _op6
 from . import op2_warc as _op2
+from . import op7_embedding_dedup as _op7
+from . import op10_ngram_join as _op10
 from .op1_bpe import op1_bpe
 from .op2_warc import op2_warc
 from .op3_mixing import op3_mixing
@@ -16,4 +18,4 @@ from .op9_quality import op9_quality
 from .op10_ngram_join import op10_ngram_join
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op3_mixing, op4_line_dedup, op5_langid, op6_exact_dedup, op7_embedding_dedup, op8_secrets, op9_quality, op10_ngram_join)}
-ORACLE_SQL = {"op2_warc": _op2.SQL, "op6_exact_dedup": _op6.SQL}
+ORACLE_SQL = {"op2_warc": _op2.SQL, "op6_exact_dedup": _op6.SQL, "op7_embedding_dedup": _op7.SQL, "op10_ngram_join": _op10.SQL}
