@@ -6,8 +6,11 @@ in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,16 +38,40 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none, as in tests, one is made."""
+    """The folder that driver and executors share. Where the session names none, one is made for a local master, as in tests; a cluster must name one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='lumenweave-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+@lru_cache(8)
+def _session_dir(shared: str, app: str) -> str:
+    """The application's own part of the shared folder, dropped when the driver ends."""
+    path = f"{shared}/lw-{app}-{uuid.uuid4().hex[:8]}"
+
+    def drop():
+        if (spark := SparkSession.getActiveSession()) is not None:
+            with contextlib.suppress(Exception):  # the session may be gone before the folder
+                drop_path(spark, path)
+
+    atexit.register(drop)
+    return path
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lw-{uuid.uuid4().hex}/{name}"
+    return f"{_session_dir(shared_dir(spark), spark.sparkContext.applicationId)}/{uuid.uuid4().hex}/{name}"
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -62,6 +89,15 @@ def drop_path(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A file of a bounded size, by whatever file system the path names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    for a in range(0, len(data), 1 << 20):
+        out.write(bytearray(data[a : a + (1 << 20)]))
+    out.close()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -192,7 +228,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        large = large.distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low2, "u")
         small = joined.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()

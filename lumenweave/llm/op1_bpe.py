@@ -16,8 +16,9 @@ import heapq
 import json
 import mmap
 import os
-import tempfile
+import re
 import unicodedata
+import uuid
 from functools import lru_cache
 from pathlib import Path
 
@@ -27,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, drop_path, mix, read_table, written
+from .common import chunks, drop_path, mix, new_path, read_table, small_batches, unused, write_bytes, written
 
 LEXICON_WORDS = 1 << 16
 CHUNK = 1 << 19
@@ -231,7 +232,7 @@ class Lexicon:
             setattr(self, name, np.frombuffer(view, np.int32, n, at))
 
     @classmethod
-    def compile(cls, words: dict[bytes, list[int]], path: str) -> None:
+    def compile(cls, words: dict[bytes, list[int]]) -> bytes:
         order = sorted(words)
         arcs, final, _ = minimal_automaton(order)
         live, seen = [0], {0}
@@ -273,7 +274,7 @@ class Lexicon:
         for k, v in parts.items():
             head[k] = (at, len(v) // 4)
             at += len(v)
-        Path(path).write_bytes((json.dumps(head) + "\n").encode().ljust(4096) + b"".join(parts.values()))
+        return (json.dumps(head) + "\n").encode().ljust(4096) + b"".join(parts.values())
 
     @staticmethod
     def _post_order(arcs: list[dict[int, int]]) -> list[int]:
@@ -378,6 +379,7 @@ class Codec:
         self.t_len = np.fromiter(map(len, tokens), np.int64, n)
         self.t_off = np.cumsum(self.t_len) - self.t_len
         self.t_buf = np.frombuffer(b"".join(tokens), np.uint8)
+        self.special = re.compile("|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and, per text, where its ids end."""
@@ -419,13 +421,12 @@ class Codec:
 
     def _split(self, text: str) -> tuple[list[str], list[int]]:
         """Plain pieces of a text and the ids of the special tokens between them."""
-        pieces, found = [], []
-        while hit := min(((text.find(s), -len(s), s) for s in self.v.special if s in text), default=None):
-            at, _, s = hit
-            pieces.append(text[:at])
-            found.append(self.v.special[s])
-            text = text[at + len(s) :]
-        return [*pieces, text], found
+        pieces, found, at = [], [], 0
+        for hit in self.special.finditer(text) if self.special else ():
+            pieces.append(text[at : hit.start()])
+            found.append(self.v.special[hit.group()])
+            at = hit.end()
+        return [*pieces, text[at:]], found
 
     def decode(self, ids: np.ndarray) -> str:
         return self.t_buf[_spread(self.t_off[ids], self.t_len[ids])].tobytes().decode("utf-8", "replace")
@@ -502,13 +503,12 @@ def build_lexicon(texts: DataFrame, vocabulary: str, size: int = LEXICON_WORDS)
     """Compiles up to ``size`` of the most frequent words of all texts and ships the file to the executors; its name for SparkFiles."""
     v = Vocabulary(vocabulary)
     top = frequent_words(texts, size)
-    folder = os.path.realpath(tempfile.mkdtemp(prefix="lexicon-"))
-    raw = f"{folder}/new"
-    Lexicon.compile({bytes(r.word): v.merge(bytes(r.word)) for r in top}, raw)
-    name = f"lexicon-{hashlib.sha256(Path(raw).read_bytes()).hexdigest()[:24]}-{os.path.basename(folder)}"
-    os.rename(raw, f"{folder}/{name}")
+    spark, raw = texts.sparkSession, Lexicon.compile({bytes(r.word): v.merge(bytes(r.word)) for r in top})
+    name = f"lexicon-{hashlib.sha256(raw).hexdigest()[:24]}-{uuid.uuid4().hex[:8]}"
+    path = new_path(spark, name)
+    write_bytes(spark, path, raw)
     # Spark hands this file to every executor, also to one that replaces a lost one
-    texts.sparkSession.sparkContext.addFile(f"{folder}/{name}")
+    spark.sparkContext.addFile(path)
     return name
 
 
@@ -533,11 +533,12 @@ def encode_texts(docs: DataFrame, text_col: str = "text", vocabulary: str | None
     other columns are left as they are, except that columns of the new names are replaced. Empty input gives an empty result.
     """
     path = _vocabulary_path(vocabulary)
+    small_batches(docs.sparkSession)
     name = lexicon or build_lexicon(docs.select(text_col), path, words)
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids"]
     keep = [c for c in docs.columns if c not in new]
     carried = keep if not digests else [c for c in keep if c != text_col]
-    src = docs.select(*[F.col(f"`{c}`").alias(c) for c in carried], F.col(text_col).alias("__text"))
+    src = docs.select(*[F.col(f"`{c}`").alias(c) for c in carried], F.col(f"`{text_col}`").alias(unused(docs, "text_")))
 
     def rows(batches):
         codec = _codec(path, name)
@@ -575,7 +576,7 @@ def decode_ids(tokens: DataFrame, ids_col: str = "ids", out_col: str = "text", v
 
     keep = [c for c in tokens.columns if c != out_col]
     schema = StructType([*(StructField(c, tokens.schema[c].dataType) for c in keep), StructField(out_col, StringType())])
-    return tokens.select(*[F.col(f"`{c}`").alias(c) for c in keep], F.col(ids_col).alias("__ids")).mapInArrow(rows, schema)
+    return tokens.select(*[F.col(f"`{c}`").alias(c) for c in keep], F.col(f"`{ids_col}`").alias(unused(tokens, "ids_"))).mapInArrow(rows, schema)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

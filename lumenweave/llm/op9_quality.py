@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, read_table, word_hashes
+from .common import as_bytes, chunks, read_table, small_batches, unused, word_hashes
 
 TRAIN_DOCS = 6000
-BITS = 16
+BITS = 16  # at most 16, as features are stored in two bytes
+FIT_BLOCK = 500
 THRESHOLD = 0.5
 SHRINK = 200  # bytes of weight 0 added to each text, so that a short one is judged by its statistics
 STATS = ("upper", "symbol", "digit", "unique", "stop", "pipe", "mean_word", "line_unique", "tail")
@@ -152,21 +153,31 @@ class Scorer:
         if not len(texts):
             self.b = 1.0
             return self
-        rows, cols, vals = [], [], []
-        for i, (x, c) in enumerate(trigram_sums(texts, None)):
-            rows.append(np.full(len(x), i, np.int32))
-            cols.append(x)
-            vals.append(c)
-        rows, cols, vals = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals) * 10
+        # 6 bytes a feature; the steps go over blocks of texts, so that they hold no more than a block's products
+        cols, vals, n = [], [], []
+        for x, c in trigram_sums(texts, None):
+            cols.append(x.astype(np.uint16))
+            vals.append((10 * c).astype(np.float32))
+            n.append(len(x))
+        blocks = []
+        for a in range(0, len(n), FIT_BLOCK):
+            b = min(a + FIT_BLOCK, len(n))
+            blocks.append((a, b, np.repeat(np.arange(b - a, dtype=np.int16), n[a:b]), np.concatenate(cols[a:b]), np.concatenate(vals[a:b])))
+            cols[a:b] = vals[a:b] = [None] * (b - a)
         cell = buckets(stats)
         share = max(1e-3, min(1 - 1e-3, float(labels.mean())))
         weight = np.where(labels > 0.5, 0.5 / share, 0.5 / (1 - share)).clip(0, 50)
         weight /= weight.sum()
         vw, vs, vb = np.zeros_like(self.w), np.zeros_like(self.s), 0.0
         for _ in range(steps):
-            z = np.bincount(rows, vals * self.w[cols], len(texts)) + self.s[cell].sum(1) + self.b
-            g = (1 / (1 + np.exp(-z)) - labels) * weight
-            vw = 0.9 * vw + np.bincount(cols, vals * g[rows], len(self.w)) + decay * self.w
+            z = self.s[cell].sum(1) + self.b
+            slope = np.zeros_like(self.w)
+            g = np.zeros(len(texts))
+            for a, b, row, col, val in blocks:
+                z[a:b] += np.bincount(row, val * self.w[col], b - a)
+                g[a:b] = (1 / (1 + np.exp(-z[a:b])) - labels[a:b]) * weight[a:b]
+                slope += np.bincount(col, val * g[a:b][row], len(self.w))
+            vw = 0.9 * vw + slope + decay * self.w
             vs = 0.9 * vs + np.bincount(cell.ravel(), np.repeat(g, cell.shape[1]), len(self.s)) + decay * self.s
             vb = 0.9 * vb + g.sum()
             self.w -= rate * vw
@@ -203,8 +214,10 @@ def train(docs: DataFrame, sample: int = TRAIN_DOCS) -> tuple[dict[int, float],
     post, _ = fit_label_model(votes, counts) if len(got) else (np.zeros(0), None)
     by = dict(zip(codes.tolist(), post.tolist(), strict=True))
     total = counts.sum()
-    dice = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
-    texts = as_bytes([r.text for r in docs.where(F.coalesce(dice, F.lit(0.0)) * float(total) < sample).select("doc_id", "text").orderBy("doc_id", "text").limit(2 * sample).collect()])
+    dice = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text")), F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
+    few = docs.where(dice * float(total) < sample).select("doc_id", "text").orderBy("doc_id", "text").limit(2 * sample).toArrow()
+    texts = as_bytes(few.column("text").to_pylist())
+    del few
     stats = statistics(texts)
     codes = (vote(stats) + 1).astype(np.int64) @ 3 ** np.arange(k)
     labels = np.array([by.get(c, 0.5) for c in codes.tolist()])
@@ -220,6 +233,7 @@ def score_documents(docs: DataFrame, model: tuple[dict[int, float], Scorer] | No
     from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
     kinds = {"good_votes": IntegerType(), "bad_votes": IntegerType(), "weak_label": DoubleType(), "quality_score": DoubleType(), "quality_kept": BooleanType()}
+    small_batches(docs.sparkSession)
     model = model or train(docs)
     b = docs.sparkSession.sparkContext.broadcast(model)  # 3 ** labellers posteriors and 2 ** BITS weights at most
     keep = [c for c in docs.columns if c not in kinds]
@@ -236,7 +250,7 @@ def score_documents(docs: DataFrame, model: tuple[dict[int, float], Scorer] | No
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*keep, *kinds])
 
     schema = StructType([*(docs.schema[c] for c in keep), *(StructField(c, t) for c, t in kinds.items())])
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text")).mapInArrow(rows, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(unused(docs, "text_"))).mapInArrow(rows, schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

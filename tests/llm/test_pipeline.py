@@ -65,3 +65,23 @@ def test_pipeline(spark, tmp_path):
         e = t.encode(text[x.doc_id], add_special_tokens=False).ids
         assert x.n_tokens == len(e) and x.ids_sha256 == hashlib.sha256(np.array(e, "<u4").tobytes()).hexdigest()
     assert {x.doc_id for x in cp.run(spark, str(tmp_path)).collect()} == set(times)
+
+
+def test_pipeline_stages_tell_rows_apart(spark, tmp_path):
+    """Null and repeated ids, ties, nulls in every column and an empty table."""
+    r = random.Random(3)
+    prose = lambda: " ".join("".join(r.choice(["an", "the", "er", "ti"]) for _ in range(r.randrange(1, 4))) for _ in range(60)).capitalize() + "."
+    a, b, c, d, e = (prose() for _ in range(5))
+    rows = [(1, a), (5, b), (5, a.upper()), (9, a), (9, a), (9, a.lower()), (None, c), (None, c), (None, a), (None, d), (7, e), (7, d)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(x.doc_id), x.text) for x in cp.exact(spark, df, "").collect())
+    assert got == sorted([("9", min(a, a.lower())), ("5", b), ("None", c), ("7", d), ("7", e)])
+    one = spark.createDataFrame([(None, a), (None, b), (3, c), (3, d), (4, c)], "doc_id long, text string").selectExpr("doc_id", "text", "cast(null as string) lang", "'s' source", "1L n_chars")
+    assert sorted((str(x.doc_id), x.text) for x in cp.near(spark, one, "").collect() if x.doc_id is None) == sorted([("None", a), ("None", b)])
+    kept = {x.doc_id for x in cp.near(spark, one, "").collect()}
+    assert kept >= {None, 3}
+    mixed = cp.mix(spark, one, "").collect()
+    assert {x.text for x in mixed} == {a, b, c, d} and {x.doc_id for x in mixed} == {None, 3, 4}
+    assert len(cp.tokens(spark, one, "").collect()) == 5
+    for name, stage in cp.STAGES:
+        assert stage(spark, one.limit(0), "").count() == 0, name

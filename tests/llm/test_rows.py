@@ -8,6 +8,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenweave.llm import op1_bpe as op1
 from lumenweave.llm import op2_warc as op2
@@ -53,7 +54,7 @@ def test_bpe_round_trip(spark):
 
 def test_bpe_lexicon_is_minimal_and_exact(tmp_path):
     words = {w.encode(): [i, i + 1] for i, w in enumerate(["car", "cars", "cat", "cats", "dog", "dogs", "do", "été"])}
-    op1.Lexicon.compile(words, str(tmp_path / "x"))
+    (tmp_path / "x").write_bytes(op1.Lexicon.compile(words))
     lex = op1.Lexicon(str(tmp_path / "x"))
     probe = [*words, b"ca", b"dogz", b"catss", b"x"]
     buf = np.frombuffer(b"".join(probe), np.uint8)
@@ -90,6 +91,23 @@ def test_warc(spark, tmp_path):
     assert op2.warc_round_trip(df.limit(0), f"file://{tmp_path}/e").count() == 0
 
 
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "Some plain words of a text, and more of them.", "a", "b"), (1, "Some plain words of a text, and more of them.", "a", "b"), (None, None, "c", "d"), (2, "<|endoftext|>" * 3 + "x" * 300_000, "e", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `__text` string, text_ string")
+    t = tokenizer()
+    tok = op1.encode_texts(df, words=100)
+    assert sorted((x.text_, x.ids) for x in tok.collect()) == sorted((d, t.encode(x or "", add_special_tokens=False).ids) for _, x, _, d in rows)
+    back = op1.decode_ids(tok.withColumnRenamed("__text", "ids_").drop("text"))
+    assert sorted((x.text_, x.text) for x in back.collect()) == sorted((d, x or "") for _, x, _, d in rows)
+    scored = op9.score_documents(df).collect()
+    assert len(scored) == 4 and len({x.quality_score for x in scored if x.doc_id == 1}) == 1
+    assert [x.quality_kept for x in scored if x.doc_id is None] == [False]
+    clash = df.select("doc_id", "text", F.lit("s").alias("source"), F.lit("x").alias("size"), F.lit(0).alias("held_out"), F.lit(0).alias("score"), F.lit(0).alias("row"))
+    assert mix_sources(clash).count() == 4
+    assert op5.predict_languages(clash, op5.train(clash.withColumn("lang", F.lit("en")))).count() == 4
+    assert op8.per_document(op8.secret_spans(clash)).count() == 4
+
+
 def mixed_by_hand(sizes):
     """Targets by repeated resharing in exact fractions."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
