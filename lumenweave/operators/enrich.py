@@ -140,8 +140,11 @@ def finding_struct() -> Column:
     return F.struct(F.col("group_id").alias("id"), "pipeline", "title", "severity", F.struct("rule_id", F.col("trigger_type").alias("type")).alias("trigger"), evidence.alias("evidence"), F.struct(F.col("action").alias("summary"), "priority").alias("suggested_action"), nlp.alias("nlp"), genai.alias("genai"))
 
 
-def json_reports(groups: DataFrame, crawl: DataFrame, summary: DataFrame, scopes: DataFrame, audited_at: str, checked: DataFrame) -> DataFrame:
-    """(crawl_id, report): one JSON text a crawl. ``checked`` is (crawl_id, findings_evaluated, evidence_valid_findings, excluded_findings)."""
+def json_reports(groups: DataFrame, crawl: DataFrame, summary: DataFrame, scopes: DataFrame, audited_at: str, checked: DataFrame, diagnostics: dict[str, DataFrame] | None = None, timing: dict[str, float] | None = None) -> DataFrame:
+    """(crawl_id, report): one JSON text a crawl. ``checked`` is (crawl_id, findings_evaluated, evidence_valid_findings, excluded_findings).
+
+    ``diagnostics``: by name a row of counts a crawl; ``timing``: seconds by stage. Both are parts of the report's diagnostics.
+    """
     from .grouping import severity_rank
 
     key = F.struct("pipeline", severity_rank(F.col("severity")).alias("r"), "title", "group_id")
@@ -150,10 +153,18 @@ def json_reports(groups: DataFrame, crawl: DataFrame, summary: DataFrame, scopes
     stats = F.struct(*[F.col(f"crawl_stats.{s}").alias(s) for s in STATS], F.col("crawl_stats.crawl_duration").alias("crawl_duration_seconds"))
     head = F.to_json(F.struct(F.col("seed_url").alias("site"), F.lit(audited_at).alias("audited_at"), F.struct(F.col("score").alias("overall_score"), "total_findings", F.struct("high", "medium", "low", "info").alias("severity")).alias("summary"), stats.alias("crawl"), F.struct("status", "reason", "pages_evaluated", "max_pages", "max_depth", "robots_respected", "termination_reason").alias("evaluation_scope")))
     listed = F.concat(F.lit(',"findings":['), F.array_join(F.transform(F.coalesce("fs", F.array().cast(f.schema["fs"].dataType)), lambda x: x["json"]), ","), F.lit("]"))
-    diag = F.to_json(F.struct(*[F.coalesce(c, F.lit(0)).alias(c) for c in ("findings_evaluated", "evidence_valid_findings", "excluded_findings")]))
+    parts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("findings_evaluated", "evidence_valid_findings", "excluded_findings")]
+    for name, counts in (diagnostics or {}).items():
+        j = j.join(counts.select("crawl_id", F.struct(*[c for c in counts.columns if c != "crawl_id"]).alias(f"_{name}")), "crawl_id", "left")
+        parts.append(F.col(f"_{name}").alias(name))
+    if timing is not None:
+        parts.append(F.struct(*[F.lit(timing.get(k, 0.0)).alias(k) for k in STAGES]).alias("stage_timing"))
+    diag = F.to_json(F.struct(*parts))
     return j.select("crawl_id", F.concat(F.regexp_replace(head, r"\}$", ""), listed, F.lit(',"diagnostics":'), diag, F.lit("}")).alias("report"))
 
 
+#: the report's stages, in order
+STAGES = ("crawling", "rule_engines", "grouping", "evidence_validation", "nlp", "genai", "reporting", "total")
 _NAMES = {"ai_discoverability": "AI Discoverability", "freshness": "Freshness", "engagement": "On-site Engagement"}
 
 

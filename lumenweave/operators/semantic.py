@@ -123,6 +123,15 @@ def page_results(pages: DataFrame, model: Model = mock_model, budget: float = BU
     return r.withColumn("state", state)
 
 
+#: all states that a page can end in
+STATES = ("not_eligible", "skipped_by_gate", "unsupported_language", "skipped_by_budget", "analysis_failed", "invalid_model_output", "analysis_no_observation", "evidence_invalid", "analysis_success")
+
+
+def state_counts(results: DataFrame) -> DataFrame:
+    """(crawl_id, pages, one count a state)."""
+    return results.groupBy("crawl_id").agg(F.count("*").alias("pages"), *[F.count_if(F.col("state") == x).alias(x) for x in STATES])
+
+
 def interpret(results: DataFrame) -> DataFrame:
     """Findings of pages whose content a model found to miss their title's topic."""
     page = F.col("address")
@@ -138,3 +147,6 @@ def interpret(results: DataFrame) -> DataFrame:
 
     return results.where("state = 'analysis_success'").select(*[(values[f.name] if f.name in values else F.lit(None)).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(FINDING).fields])
 
+
+#: what interpretation and diagnostics need of a page's result
+RESULT = ("crawl_id", "page_seq", "address", "state", "apparent_topic", "content_topic", "alignment", "reason", "confidence", "sources")

@@ -113,11 +113,15 @@ def validate_groups(groups: DataFrame, sources: DataFrame, c: Crawl, several_can
     return g.withColumn("errors", own).withColumn("valid", F.size("errors") == 0).withColumn("bad_sources", F.coalesce("bad_sources", F.lit(0))).drop("page_known", "sample_known", "__scope", "first_bad", "id")
 
 
-def rule_diagnostics(checked: DataFrame, catalog: DataFrame, crawls: DataFrame) -> DataFrame:
-    """(crawl_id, rule_id, status, findings_generated, valid_findings, invalid_findings): every rule appears, also without findings."""
+def rule_diagnostics(checked: DataFrame, catalog: DataFrame, crawls: DataFrame, runs: list[tuple[str, str | None, str | None, float]] = ()) -> DataFrame:
+    """(crawl_id, rule_id, status, findings_generated, valid_findings, invalid_findings, error_type, error_message, duration_seconds): every rule appears, also without findings.
+
+    ``runs`` tells of rules run one by one: (rule_id, error type or None, error message or None, seconds). A rule with an error is FAILED.
+    """
     n = checked.groupBy("crawl_id", "rule_id").agg(F.count("*").alias("g"), F.count_if(F.size("errors") == 0).alias("v"))
+    told = checked.sparkSession.createDataFrame(list(runs), "rule_id string, error_type string, error_message string, duration_seconds double")
     # both sides are small by nature: one row a rule, one row a crawl
-    out = crawls.select("crawl_id").join(catalog.select(F.collect_list("rule_id").alias("rules")), how="cross").select("crawl_id", F.explode("rules").alias("rule_id")).join(n, ["crawl_id", "rule_id"], "left")
+    out = crawls.select("crawl_id").join(catalog.select(F.collect_list("rule_id").alias("rules")), how="cross").select("crawl_id", F.explode("rules").alias("rule_id")).join(n, ["crawl_id", "rule_id"], "left").join(told, "rule_id", "left")
     g, v = F.coalesce("g", F.lit(0)), F.coalesce("v", F.lit(0))
-    status = F.when(g > v, F.lit("INVALID_FINDINGS")).when(g == 0, F.lit("NO_FINDINGS")).otherwise(F.lit("SUCCESS"))
-    return out.select("crawl_id", "rule_id", status.alias("status"), g.alias("findings_generated"), v.alias("valid_findings"), (g - v).alias("invalid_findings"))
+    status = F.when(F.col("error_type").isNotNull(), F.lit("FAILED")).when(g > v, F.lit("INVALID_FINDINGS")).when(g == 0, F.lit("NO_FINDINGS")).otherwise(F.lit("SUCCESS"))
+    return out.select("crawl_id", "rule_id", status.alias("status"), g.alias("findings_generated"), v.alias("valid_findings"), (g - v).alias("invalid_findings"), "error_type", "error_message", "duration_seconds")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import enrich as E
 from ..operators import graph_rules, grouping, page_rules, semantic, validation
-from ..operators.catalog import RULE_TEXTS, Registry, Rule
+from ..operators.catalog import FINDING, RULE_TEXTS, Registry, Rule
 from ..sources.crawl import Crawl
 from ..sources.tables import written
 
@@ -44,17 +45,34 @@ def run_rules(c: Crawl, pipeline: str | None = None) -> DataFrame:
     return out if pipeline is None else out.where(F.col("pipeline") == pipeline)
 
 
-def run_isolated(c: Crawl, registry: Registry, pipeline: str | None = None) -> tuple[list[tuple[str, DataFrame]], dict[str, str]]:
-    """Each rule by itself, in order of id: (rule, its findings) of those that run, and the errors of those that fail."""
-    good, bad = [], {}
+@dataclass
+class RuleRun:
+    """What one rule did when run by itself: its findings, or the error that it failed with."""
+
+    rule_id: str
+    findings: DataFrame | None
+    error_type: str | None
+    error_message: str | None
+    seconds: float
+
+
+def rule_runs(c: Crawl, registry: Registry, pipeline: str | None = None) -> list[RuleRun]:
+    """Each rule by itself, in order of id; findings are written, so that a rule that runs does so once."""
+    out = []
     for rule in registry.get_all(pipeline):
+        began = time.monotonic()
         try:
-            found = rule.evaluate(c)
-            found.write.format("noop").mode("overwrite").save()
-            good.append((rule.rule_id, found))
+            got, error = written(rule.evaluate(c)), (None, None)
         except Exception as e:  # noqa: BLE001  a rule's failure is its diagnostic
-            bad[rule.rule_id] = f"{type(e).__name__}: {e}"
-    return good, bad
+            got, error = None, (type(e).__name__, str(e))
+        out.append(RuleRun(rule.rule_id, got, *error, time.monotonic() - began))
+    return out
+
+
+def run_isolated(c: Crawl, registry: Registry, pipeline: str | None = None) -> tuple[list[tuple[str, DataFrame]], dict[str, str]]:
+    """(rule, its findings) of those that run, and the errors of those that fail."""
+    runs = rule_runs(c, registry, pipeline)
+    return [(r.rule_id, r.findings) for r in runs if r.findings is not None], {r.rule_id: f"{r.error_type}: {r.error_message}" for r in runs if r.findings is None}
 
 
 @dataclass
@@ -64,31 +82,53 @@ class Audit:
     groups: DataFrame
     summary: DataFrame
     scopes: DataFrame
+    rules: DataFrame
+    timing: dict[str, float]
     json: DataFrame
     markdown: DataFrame
 
 
-def audit(c: Crawl, audited_at: str, model: semantic.Model = semantic.mock_model, make=E.MockGenerator, several_canonicals: bool = True, registry: Registry | None = None) -> Audit:
-    """``registry``: run these rules, one by one, in place of the fused default rules.
+def audit(c: Crawl, audited_at: str, model: semantic.Model = semantic.mock_model, make=E.MockGenerator, several_canonicals: bool = True, registry: Registry | None = None, timed: bool = False) -> Audit:
+    """``registry``: run these rules, one by one, in place of the fused default rules. ``timed``: the JSON report tells the stages' seconds.
 
     Each stage is written to the shared folder: later stages read it several times, and no plan grows with the stages before it.
+    If the fused plan fails, each rule runs by itself; a rule that fails is FAILED in ``rules``, and the others' findings count.
     """
+    spark, timing, began = c.pages.sparkSession, {}, time.monotonic()
+
+    def lap(stage: str) -> None:
+        timing[stage] = time.monotonic() - began - sum(timing.values())
+
+    runs: list[RuleRun] = []
     if registry is None:
-        raw = written(run_rules(c))
+        try:
+            raw = written(run_rules(c))
+        except Exception:  # noqa: BLE001  which rule it is shows when they run one by one
+            runs = rule_runs(c, default_registry())
     else:
-        good, _ = run_isolated(c, registry)
-        raw = good[0][1]
-        for _, f in good[1:]:
-            raw = raw.union(f)
+        runs = rule_runs(c, registry)
+    if runs:
+        raw = spark.createDataFrame([], FINDING)
+        for r in runs:
+            raw = raw if r.findings is None else raw.union(r.findings)
         raw = written(raw)
     checked = written(validation.validate_findings(raw, c.pages))
+    rules = validation.rule_diagnostics(checked, (registry or default_registry()).table(spark), c.crawl, [(r.rule_id, r.error_type, r.error_message, r.seconds) for r in runs])
+    lap("rule_engines")
     kept = checked.where(F.size("errors") == 0).drop("errors").select(*raw.columns)
-    kept = kept.union(semantic.interpret(semantic.page_results(c.pages, model)).select(*raw.columns))
-    kept = written(kept)
+    pages_read = written(semantic.page_results(c.pages, model).select(*semantic.RESULT))
+    kept = written(kept.union(semantic.interpret(pages_read).select(*raw.columns)))
+    lap("nlp")
     sources = written(grouping.deduplicate(kept))
     pages = c.pages.groupBy("crawl_id").agg(F.count("*").alias("pages"))
-    groups = written(validation.validate_groups(written(grouping.group(sources, pages)), sources, c, several_canonicals))
+    grouped = written(grouping.group(sources, pages))
+    lap("grouping")
+    groups = written(validation.validate_groups(grouped, sources, c, several_canonicals))
+    lap("evidence_validation")
     tally = groups.groupBy("crawl_id").agg(F.count("*").alias("findings_evaluated"), F.count_if("valid").alias("evidence_valid_findings"), F.count_if(~F.col("valid")).alias("excluded_findings"))
     valid = written(E.enrich(groups.where("valid"), make))
+    lap("genai")
     s, scopes = grouping.summary(valid, c.crawl), E.scope(c.crawl, c.pages, c.unfetched)
-    return Audit(kept, checked, valid, s, scopes, E.json_reports(valid, c.crawl, s, scopes, audited_at, tally), E.markdown_reports(valid, c.crawl, s, scopes, tally))
+    diagnostics = {"nlp": semantic.state_counts(pages_read), "genai": E.enrich_counts(valid)}
+    report = E.json_reports(valid, c.crawl, s, scopes, audited_at, tally, diagnostics, {**timing, "total": sum(timing.values())} if timed else None)
+    return Audit(kept, checked, valid, s, scopes, rules, timing, report, E.markdown_reports(valid, c.crawl, s, scopes, tally))

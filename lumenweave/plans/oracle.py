@@ -104,7 +104,7 @@ ORACLE_SQL = {
     "document_thin": f"select doc_id, {_id('AI-CONTENT-002', 'cast(doc_id as varchar)')} as id, length(text) as observed_value from documents where length(text) > 0 and length(text) < 50",
     "document_gate": f"select doc_id, {_gate} as state, {_words} as n_words from documents",
     "document_truncation": rf"select doc_id, sha256(case when {_words} > 1500 then array_to_string(list_slice(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), 1, 1500), ' ') else text end) as text_sha256 from documents",
-    "semantic_candidates": f"with d as (select doc_id, case when {_words} < 50 then 'skipped_by_gate' end as state from documents where lang = 'en'), r as (select *, row_number() over (partition by state order by 'https://x.example/d/' || doc_id) as k from d) select doc_id, coalesce(state, case when k <= 100 then 'analysed' else 'skipped_by_budget' end) as state from r",
+    "semantic_candidates": f"with d as (select doc_id, case when coalesce(lang, '') <> 'en' then 'unsupported_language' when coalesce(text, '') = '' or {_words} < 50 then 'skipped_by_gate' end as state from documents), r as (select *, row_number() over (partition by state order by 'https://x.example/d/' || doc_id) as k from d) select doc_id, coalesce(state, case when k <= 100 then 'analysed' else 'skipped_by_budget' end) as state from r",
     "scalar_ids": "select doc_id, upper('F-AI-X-1-' || substr(sha256('AI-X-1' || coalesce(source, '') || doc_id), 1, 32)) as finding, upper('G-AI-X-1-' || substr(sha256(coalesce(lang, '') || 'AI-X-1deterministic' || coalesce(source, '')), 1, 32)) as grp, sha256('&lt;''' || source || '''&gt;') as escaped from documents",
     "scalar_urls": "select page_id, regexp_replace(url, '#.*$', '') as bare, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1)) as host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) as path, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') as ok, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1)) in ('example.com', 'example.org') or lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1)) like '%.example.com' or lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1)) like '%.example.org' as inside from pages",
     "scalar_dates": f"with t as (select o_orderkey, cast(o_orderdate as timestamp) as a, {_b} as b from orders) select o_orderkey, strftime(b, '%Y-%m-%dT%H:%M:%S+00:00') as iso, b > timestamp '1998-06-01' + interval 24 hour as future, cast(epoch_us(b) - epoch_us(a) as double) / 3600000000.0 as hours, b <= a + interval 24 hour as in_order, cast(a as date) = cast(b as date) as same_day, cast(floor((epoch_us(timestamp '1998-06-01') - epoch_us(b)) / 86400000000.0) as bigint) as age_days from t",
@@ -115,3 +115,49 @@ ORACLE_SQL = {
     "overlay_finding_checks": _DUP + "select id, page, cast(case when abs(affected_percentage - exact) > 0.001 then 1 else 0 end as bigint) as n_errors from q",
     "html_fields": r"select page_id, replace(replace(replace(regexp_extract(html, '<title[^>]*>([^<]*)<', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as title, regexp_extract(html, '<html[^>]* lang=.([A-Za-z-]+)', 1) as language, cast(len(regexp_extract_all(html, '<h1[ >]')) as bigint) as n_h1, cast(octet_length(encode(html)) as bigint) as html_size, cast(len(regexp_extract_all(html, '<img ')) as bigint) as n_images from pages",
 }
+
+
+def _rows(name: str, pipeline: str, severity: str = "severity", page: str = "page", ok: str = "true") -> str:
+    return f"select '{pipeline}' as pipeline, rule_id, {severity} as severity, {page} as page, {ok} as ok from ({ORACLE_SQL[name]})"
+
+
+_EXACT = _DUP + "select *, 'medium' as severity, abs(affected_percentage - exact) <= 0.001 as fits from q"
+#: every finding of the overlay, and whether it passes its checks
+_EVERY = _all(
+    *[_rows(n, "ai_discoverability") for n in ("overlay_page_rules", "overlay_canonical", "overlay_links", "overlay_orphans")],
+    _rows("overlay_robots", "ai_discoverability", ok="exists (select 1 from pages where page_id = 0)"),
+    _rows("overlay_engagement", "engagement"),
+    _rows("overlay_freshness", "freshness"),
+    f"select 'ai_discoverability', rule_id, severity, page, fits from ({_EXACT})",
+)
+_CATALOG = "(values " + ", ".join(f"('{r[0]}', {_q(r[3])})" for r in RULE_TEXTS) + ") as r(rule_id, title)"
+_GROUP_ID = "upper('G-' || rule_id || '-' || substr(sha256(pipeline || rule_id || 'deterministic' || severity), 1, 32))"
+_SOURCED = "case when rule_id = 'AI-CANONICAL-002' then false when rule_id = 'AI-ROBOTS-001' then exists (select 1 from pages where page_id = 0) else true end"
+#: groups of the findings that passed, with whether each passes as a group
+_VALID = f"select pipeline, rule_id, severity, {_GROUP_ID} as group_id, count(distinct page) as pages_affected, {_SOURCED} as good from ({_EVERY}) where ok group by pipeline, rule_id, severity"
+_HTML = "select page_id, url, html from pages"
+
+
+def _html_find(rule: str, when: str, observed: str) -> str:
+    return f"select '{rule}' as rule_id, {_id(rule, 'url')} as id, url as page, '{_TEXT[rule][2]}' as severity, {observed} as observed_value from ({_HTML}) where {when}"
+
+
+_HTML_FINDINGS = _all(
+    _html_find("AI-CANONICAL-001", "not contains(html, 'rel=\"canonical\"')", "'No canonical tag found'"),
+    _html_find("AI-META-003", "not contains(html, 'name=\"description\"') and not contains(html, 'og:description')", "'None or empty'"),
+    _html_find("AI-HTML-001", "not regexp_matches(html, '<h1[ >]')", "'0 H1 tags found'"),
+    _html_find("AI-META-001", "not regexp_matches(html, '<title[ >]')", "'None'"),
+    _html_find("AI-LINK-003", "true", "'0 incoming internal links found'"),
+)
+ORACLE_SQL |= {
+    "overlay_rule_diagnostics": f"select r.rule_id, case when coalesce(g, 0) > coalesce(v, 0) then 'INVALID_FINDINGS' when coalesce(g, 0) = 0 then 'NO_FINDINGS' else 'SUCCESS' end as status, coalesce(g, 0) as findings_generated, coalesce(v, 0) as valid_findings, coalesce(g, 0) - coalesce(v, 0) as invalid_findings from {_CATALOG} left join (select rule_id, count(*) as g, count(*) filter (where ok) as v from ({_EVERY}) group by rule_id) using (rule_id)",
+    "overlay_compression": f"select count(*) as raw_findings, count(distinct rule_id) as groups, cast(count(*) as double) / count(distinct rule_id) as ratio from ({_EVERY})",
+    "overlay_group_checks": f"with p as (select exists (select 1 from pages where page_id = 0) as home), g as (select pipeline, rule_id, severity, count(*) as n from ({_EVERY}) group by all) select {_GROUP_ID} as group_id, rule_id, rule_id <> 'AI-CANONICAL-002' and (rule_id <> 'AI-ROBOTS-001' or home) as valid, case when rule_id = 'AI-CANONICAL-002' then n when rule_id = 'AI-ROBOTS-001' and not home then 1 else 0 end as bad_sources, cast(case when rule_id = 'AI-CANONICAL-002' then 1 when rule_id = 'AI-ROBOTS-001' and not home then 3 else 0 end as bigint) as n_errors from g, p",
+    "audit_groups": f"select group_id, pipeline, severity, title, pages_affected, case when pipeline <> 'engagement' then 'successful' end as outcome from ({_VALID}) join {_CATALOG} using (rule_id) where good",
+    "enrichment_counts": f"select n as eligible_groups, n as requests_attempted, n as successful, 0::bigint as rate_limited, 0::bigint as timeouts, 0::bigint as provider_failures, 0::bigint as invalid_responses, 0::bigint as skipped_by_budget from (select count(*) as n from ({_VALID}) where good and pipeline <> 'engagement')",
+    "overlay_bad_findings": f"{_O} select page_id, cast(case page_id % 13 when 11 then 0 when 12 then 0 when 7 then 2 when 8 then 2 when 10 then 3 else 1 end as bigint) as n_errors from o where {_OK} and trim(coalesce(meta_description, '')) = ''",
+    "overlay_finding_dedup": f"{_O}, f as ({_PAGE}) select rule_id, count(*) + count(*) filter (where cast(regexp_extract(page, '([0-9]+)$', 1) as bigint) % 2 = 0) as findings from f group by rule_id",
+    "overlay_scores": f"with g as (select rule_id, severity from (select rule_id, severity from ({ORACLE_SQL['overlay_page_rules']}) union all select rule_id, severity from ({ORACLE_SQL['overlay_engagement']})) group by all) select rule_id as crawl_id, cast(100 - case severity when 'high' then 20 when 'medium' then 10 when 'low' then 5 else 0 end as bigint) as score, cast(1 as bigint) as total_findings, cast(severity = 'high' as bigint) as high, cast(severity = 'medium' as bigint) as medium, cast(severity = 'low' as bigint) as low, cast(severity = 'info' as bigint) as info from g union all select 'none', 100, 0, 0, 0, 0, 0",
+    "html_findings": _HTML_FINDINGS,
+    "html_groups": f"with f as ({_HTML_FINDINGS}) select upper('G-' || rule_id || '-' || substr(sha256('ai_discoverability' || rule_id || 'deterministic' || severity), 1, 32)) as group_id, rule_id, (select count(*) from pages) as pages_checked, count(distinct page) as pages_affected, count(*) as n_sources from f group by rule_id, severity",
+}

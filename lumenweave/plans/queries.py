@@ -11,7 +11,7 @@ from ..functions.text import markdown_escape, percentage, squeeze_out, words
 from ..functions.urls import defragment, has_scheme_and_host, host_of, in_domains, path_of
 from ..operators import enrich as E
 from ..operators import graph_rules, grouping, page_rules, semantic, validation
-from ..sources.crawl import crawl_statistics
+from ..sources.crawl import CRAWL, UNFETCHED, Crawl, complete_pages, crawl_statistics
 from ..sources.html import extract_pages
 from ..sources.tables import written
 from . import audit as A
@@ -101,8 +101,8 @@ def document_truncation(spark, sf_dir):
 
 
 def semantic_candidates(spark, sf_dir):
-    """Of the pages that pass the gate the first 100 addresses are analysed."""
-    d = _read(spark, sf_dir, "documents").where("lang = 'en'")
+    """N1, O6 on all documents: of the pages that pass the gate the first 100 addresses are analysed."""
+    d = _read(spark, sf_dir, "documents")
     p = d.select(F.lit("c").alias("crawl_id"), F.col("doc_id").alias("page_seq"), F.lit(200).alias("status_code"), F.lit("text/html").alias("content_type"), F.concat(F.lit("https://x.example/d/"), F.col("doc_id").cast("string")).alias("url"), F.lit("").alias("final_url"), F.struct(F.col("text").alias("visible_text"), F.col("lang").alias("language"), F.lit("t").alias("title")).alias("extracted"))
     return semantic.candidates(p).select(F.col("page_seq").alias("doc_id"), F.coalesce("state", F.lit("analysed")).alias("state"))
 
@@ -166,7 +166,36 @@ def overlay_rule_diagnostics(spark, sf_dir):
     """G10, V9's catalog: every rule with its counts and status."""
     c = overlay.crawl(spark, sf_dir)
     checked = written(validation.validate_findings(written(A.run_rules(c)), c.pages))
-    return validation.rule_diagnostics(checked, A.default_registry().table(spark), c.crawl).drop("crawl_id")
+    return validation.rule_diagnostics(checked, A.default_registry().table(spark), c.crawl).select("rule_id", "status", "findings_generated", "valid_findings", "invalid_findings")
+
+
+def overlay_bad_findings(spark, sf_dir):
+    """V1 to V4, J7 where they fail: findings spoiled in one of 13 ways by page number, each with its errors."""
+    c = overlay.crawl(spark, sf_dir)
+    f = written(page_rules.evaluate(c.pages, {"AI-META-003"}))
+    k = F.col("seq") % 13
+    spoil = lambda i, name, bad: F.when(k == i, bad).otherwise(F.col(name)).alias(name)
+    ways = {"title": (0, F.lit("")), "pipeline": (1, F.lit(None).cast("string")), "severity": (2, F.lit("")), "action": (3, F.lit("")), "affected_percentage": (6, F.lit(50.0)), "sample_count": (7, F.lit(3).cast("bigint")), "sample": (8, F.array(F.lit("no address"))), "truncated": (9, F.lit(True))}
+    f = f.withColumn("sample", F.coalesce("sample", F.array(F.col("page")))).withColumn("sample_count", F.lit(1).cast("bigint")).withColumn("truncated", F.lit(False))
+    more = {"page": F.when(k == 4, F.lit("no address")).when(k == 5, F.concat("page", F.lit("/unknown"))).otherwise(F.col("page")).alias("page"), "pages_affected": F.when(k == 10, F.lit(2)).otherwise(F.col("pages_affected")).cast("bigint").alias("pages_affected")}
+    bad = f.select(*[spoil(ways[n][0], n, ways[n][1]) if n in ways else more.get(n, F.col(n)) for n in f.columns])
+    return validation.validate_findings(bad, c.pages).select(F.col("seq").alias("page_id"), F.size("errors").cast("bigint").alias("n_errors"))
+
+
+def overlay_finding_dedup(spark, sf_dir):
+    """Findings told twice, and once more with another expected value, which is no part of the signature, come back once by rule; another observed value makes another finding."""
+    f = written(page_rules.evaluate(overlay.crawl(spark, sf_dir).pages).where("pipeline = 'ai_discoverability'"))
+    twice = f.union(f).union(f.withColumn("expected_value", F.lit("other"))).union(f.where("seq % 2 = 0").withColumn("observed_value", F.lit("another")))
+    return grouping.deduplicate(twice).groupBy("rule_id").agg(F.count("*").alias("findings"))
+
+
+def overlay_scores(spark, sf_dir):
+    """Each rule's groups as a crawl of their own, and a crawl without any."""
+    c = overlay.crawl(spark, sf_dir)
+    g = grouping.group(grouping.deduplicate(page_rules.evaluate(c.pages)), c.pages.groupBy("crawl_id").agg(F.count("*").alias("pages")))
+    g = written(g.withColumn("crawl_id", F.col("rule_id")))
+    crawls = g.select("crawl_id").distinct().union(spark.createDataFrame([("none",)], "crawl_id string"))
+    return grouping.summary(g, crawls)
 
 
 def overlay_group_checks(spark, sf_dir):
@@ -189,6 +218,24 @@ def _html(spark, sf_dir):
     return extract_pages(p.select("page_id", "url", F.col("url").alias("final_url"), F.lit("text/html").alias("content_type"), F.col("html").alias("raw_html")))
 
 
+def html_crawl(spark, sf_dir) -> Crawl:
+    """The raw pages as one crawl, extracted and written."""
+    h = _html(spark, sf_dir)
+    pages = h.select(F.lit("pages").alias("crawl_id"), F.col("page_id").alias("page_seq"), "url", "final_url", F.lit(200).alias("status_code"), "content_type", F.lit(1).alias("depth"), F.lit(None).cast("string").alias("parent_url"), F.array().cast("array<string>").alias("redirect_chain"), F.lit("success").alias("crawl_status"), F.lit("").alias("raw_html"), "extracted", "diagnostics")
+    head = spark.createDataFrame([("pages", "https://site.example/", overlay.AUDIT_TIME, None, {"crawl_termination_reason": "finished", "pages_discovered_not_fetched": 0}, "finished")], CRAWL)
+    return Crawl(head, written(complete_pages(pages)), spark.createDataFrame([], UNFETCHED))
+
+
+def html_findings(spark, sf_dir):
+    """E2 to E22 into every rule: the findings on raw pages, from HTML to rules."""
+    return A.run_rules(html_crawl(spark, sf_dir)).select("rule_id", "id", "page", "severity", "observed_value")
+
+
+def html_groups(spark, sf_dir):
+    """The whole audit of the raw pages, from HTML to valid groups."""
+    return A.audit(html_crawl(spark, sf_dir), overlay.AUDIT_TIME).groups.select("group_id", "rule_id", "pages_checked", "pages_affected", "n_sources")
+
+
 def html_fields(spark, sf_dir):
     """E1, E3, E4, E20 on raw pages."""
     return _html(spark, sf_dir).select("page_id", "extracted.title", "extracted.language", F.size("extracted.h1s").cast("bigint").alias("n_h1"), F.col("diagnostics.html_size").alias("html_size"), F.size("extracted.image_urls").cast("bigint").alias("n_images"))
@@ -223,7 +270,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         overlay_page_rules, overlay_engagement, overlay_freshness, overlay_canonical, overlay_links, overlay_orphans, overlay_duplicates, overlay_robots, overlay_crawl_stats, overlay_profile, document_duplicates, document_thin,
-        document_gate, document_truncation, semantic_candidates, scalar_ids, scalar_urls, scalar_dates, scalar_percentages, overlay_groups, overlay_score, overlay_counts, overlay_finding_checks, overlay_rule_diagnostics,
-        overlay_group_checks, overlay_compression, html_fields, html_all, audit_markdown, audit_json, audit_groups, enrichment_counts,
+        document_gate, document_truncation, semantic_candidates, scalar_ids, scalar_urls, scalar_dates, scalar_percentages, overlay_groups, overlay_score, overlay_counts, overlay_finding_checks, overlay_bad_findings, overlay_finding_dedup, overlay_scores, overlay_rule_diagnostics,
+        overlay_group_checks, overlay_compression, html_fields, html_findings, html_groups, html_all, audit_markdown, audit_json, audit_groups, enrichment_counts,
     )
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,14 +60,23 @@ def complete_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumns({"extracted": e, "diagnostics": d, "redirect_chain": chain, "crawl_status": F.coalesce("crawl_status", F.lit("success"))})
 
 
+def raw_counts(stats: Column) -> list[Column]:
+    """From a crawler's raw counters, a map: redirect_total (answers 301 and 302; 0 without counters) and robots_status (of the first answer to robots.txt by name, if any)."""
+    count = lambda k: F.coalesce(F.try_element_at(stats, F.lit(k)).cast("bigint"), F.lit(0))
+    redirects = count("downloader/response_status_count/301") + count("downloader/response_status_count/302")
+    mark = "robotstxt/response_status_count/"
+    robots = F.array_min(F.filter(F.map_keys(stats), lambda k: k.startswith(mark)))
+    return [redirects.alias("redirect_total"), F.substring_index(robots, "/", -1).cast("int").alias("robots_status")]
+
+
 def load_json(spark: SparkSession, path: str) -> Crawl:
     """Crawl dumps: one JSON object a file, read with the fixed schema. A page without one of url, final_url, status_code, content_type or depth fails.
 
     Unfetched entries may be objects or bare strings. The completed pages are written to the shared folder, as every rule reads them.
     """
-    schema = f"seed_url string, crawled_at string, pages array<struct<{_struct(PAGE)}>>, crawl_stats {CRAWL_STATS}, crawl_diagnostics {CRAWL_DIAGNOSTICS}, raw_scrapy_stats struct<finish_reason: string>, unfetched_urls array<string>"
+    schema = f"seed_url string, crawled_at string, pages array<struct<{_struct(PAGE)}>>, crawl_stats {CRAWL_STATS}, crawl_diagnostics {CRAWL_DIAGNOSTICS}, raw_scrapy_stats map<string, string>, unfetched_urls array<string>"
     raw = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("crawl_id", F.col("_metadata.file_path"))
-    crawl = raw.select("crawl_id", "seed_url", "crawled_at", "crawl_stats", "crawl_diagnostics", F.col("raw_scrapy_stats.finish_reason").alias("finish_reason"))
+    crawl = raw.select("crawl_id", "seed_url", "crawled_at", "crawl_stats", "crawl_diagnostics", F.try_element_at("raw_scrapy_stats", F.lit("finish_reason")).alias("finish_reason"), *raw_counts(F.col("raw_scrapy_stats")))
     pages = raw.select("crawl_id", F.posexplode("pages").alias("page_seq", "p")).select("crawl_id", F.col("page_seq").cast("bigint").alias("page_seq"), "p.*")
     for c in ("url", "final_url", "status_code", "content_type", "depth"):
         pages = pages.withColumn(c, F.when(F.col(c).isNull(), F.raise_error(F.lit(f"a page lacks {c}"))).otherwise(F.col(c)))

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table under spark.checkpoint.dir; only where the session names none, as in tests, under a temporary folder."""
+    """``df`` as a Parquet table under spark.checkpoint.dir; only where a local session names none, as in tests, under a temporary folder."""
     spark = df.sparkSession
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='lumenweave-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/lw-{uuid.uuid4().hex}"

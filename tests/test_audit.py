@@ -11,7 +11,7 @@ from lumenweave.operators import enrich as E
 from lumenweave.operators import graph_rules, grouping, page_rules, semantic, validation
 from lumenweave.operators.catalog import Registry, Rule
 from lumenweave.plans import audit as A
-from lumenweave.sources.crawl import CRAWL, UNFETCHED, Crawl, complete_pages, frontier, load_json
+from lumenweave.sources.crawl import CRAWL, UNFETCHED, Crawl, complete_pages, frontier, load_json, raw_counts
 from lumenweave.sources.tables import written
 from lumenweave.sources.html import extract, page_type
 
@@ -193,6 +193,46 @@ def test_registry_and_isolation(spark):
     assert [x for x, _ in good] == ["AI-CRAWL-001"] and "ZeroDivisionError" in bad["A-1"]
 
 
+def test_failed_rules_are_told(spark):
+    c = make(spark, [{"status_code": 404}])
+    own = Registry()
+    own.register(Rule("A-1", "freshness", "breaks", lambda c: 1 / 0))
+    a = A.audit(c, "2024-09-04T00:00:00Z", registry=own)
+    (r,) = a.rules.collect()
+    assert (r.rule_id, r.status, r.error_type, r.error_message, r.findings_generated) == ("A-1", "FAILED", "ZeroDivisionError", "division by zero", 0) and r.duration_seconds >= 0
+    assert a.groups.count() == 0 and a.summary.collect()[0].score == 100
+    own.register(A.default_registry().get("AI-CRAWL-001"))
+    a = A.audit(c, "2024-09-04T00:00:00Z", registry=own)
+    assert {x.rule_id: x.status for x in a.rules.collect()} == {"A-1": "FAILED", "AI-CRAWL-001": "SUCCESS"} and a.groups.count() == 1
+
+
+def test_a_failing_fused_plan_is_isolated(spark, monkeypatch):
+    c = make(spark, [{"status_code": 404}])
+
+    def broken(c, pipeline=None):
+        raise RuntimeError("no fused plan")
+
+    monkeypatch.setattr(A, "run_rules", broken)
+    monkeypatch.setattr(A.graph_rules, "orphan_rule", lambda *a: 1 / 0)
+    a = A.audit(c, "2024-09-04T00:00:00Z")
+    status = {x.rule_id: x.status for x in a.rules.collect()}
+    assert len(status) == 30 and [k for k, v in status.items() if v == "FAILED"] == ["AI-LINK-003"] and status["AI-CRAWL-001"] == "SUCCESS"
+
+
+def test_report_diagnostics(spark):
+    c = make(spark, [{"status_code": 404}, {"x": {"title": "t", "language": "en", "visible_text": "word " * 60}}])
+    d = json.loads(A.audit(c, "2024-09-04T00:00:00Z", timed=True).json.collect()[0].report)["diagnostics"]
+    assert d["nlp"]["pages"] == 2 and d["nlp"]["not_eligible"] == 1 and sum(v for k, v in d["nlp"].items() if k != "pages") == 2
+    assert d["genai"]["eligible_groups"] == d["genai"]["successful"] > 0
+    assert tuple(d["stage_timing"]) == E.STAGES and d["stage_timing"]["total"] > 0
+
+
+def test_raw_counts(spark):
+    rows = [({"downloader/response_status_count/301": "2", "downloader/response_status_count/302": "3", "robotstxt/response_status_count/404": "1", "finish_reason": "finished"},), ({},), (None,)]
+    got = spark.createDataFrame(rows, "s map<string, string>").select(*raw_counts(F.col("s"))).collect()
+    assert [(x.redirect_total, x.robots_status) for x in got] == [(5, 404), (0, None), (0, None)]
+
+
 def test_audit_reports(spark):
     text = "word " * 60
     c = make(spark, [{"x": {"title": None}}, {"x": {"title": "<`x`>", "language": "en", "visible_text": text + "mock_low_alignment content"}}, {"status_code": 404}])
