@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +101,14 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     out.close()
 
 
+def release_memory() -> None:
+    """Gives back to the system what a bounded computation on the driver has freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -213,18 +224,24 @@ class Forest:
                 root[:] = up
 
 
+def _not_stars(edges: DataFrame) -> int:
+    """How many nodes keep the edges (u, v), u > v, from being stars about their smallest nodes: those with two such v, or with one and in the place of another's."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("n"), F.lit(0).alias("root")).union(edges.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("x").agg(F.sum("n").alias("n"), F.max("root").alias("root"))
+    return nodes.where("n > 1 or n > 0 and root > 0").agg(F.count("*")).first()[0]
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Distributed union-find over edges between long ids: rows (node, component), component the smallest node reachable.
 
-    Alternates large-star and small-star steps; each is a minimum per node, combined before the shuffle, and an
+    Alternates large-star and small-star steps until all components are stars; each is a minimum per node, combined before the shuffle, and an
     equi-join back on the node, so no node's neighbours are gathered in one task. Each round is written to the
     shared folder. Null ids and loops are ignored; without edges the result is empty.
     """
     spark = edges.sparkSession
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     cur, path = written(e, "edges")
-    old = None
-    while True:
+    while _not_stars(cur):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
@@ -232,12 +249,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         joined = large.join(low2, "u")
         small = joined.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
         nxt, nxt_path = written(small, "edges")
-        mark = nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_path(spark, path.rsplit("/", 1)[0])
         cur, path = nxt, nxt_path
-        if mark == old:
-            break
-        old = mark
-    # every remaining edge now points from a node to its component's smallest node
-    roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(roots)
+    # every edge now points from a node to its component's smallest node
+    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

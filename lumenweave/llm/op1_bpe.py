@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, drop_path, mix, new_path, read_table, small_batches, unused, write_bytes, written
+from .common import chunks, drop_path, mix, new_path, read_table, release_memory, small_batches, unused, write_bytes, written
 
 LEXICON_WORDS = 1 << 16
 CHUNK = 1 << 19
@@ -509,6 +509,8 @@ def build_lexicon(texts: DataFrame, vocabulary: str, size: int = LEXICON_WORDS)
     write_bytes(spark, path, raw)
     # Spark hands this file to every executor, also to one that replaces a lost one
     spark.sparkContext.addFile(path)
+    del top, raw, v
+    release_memory()
     return name
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, read_table, small_batches, unused, word_hashes
+from .common import as_bytes, chunks, read_table, release_memory, small_batches, unused, word_hashes
 
 TRAIN_DOCS = 6000
 BITS = 16  # at most 16, as features are stored in two bytes
@@ -221,7 +221,10 @@ def train(docs: DataFrame, sample: int = TRAIN_DOCS) -> tuple[dict[int, float],
     stats = statistics(texts)
     codes = (vote(stats) + 1).astype(np.int64) @ 3 ** np.arange(k)
     labels = np.array([by.get(c, 0.5) for c in codes.tolist()])
-    return by, Scorer().fit(texts, stats, labels)
+    scorer = Scorer().fit(texts, stats, labels)
+    del texts, stats, labels
+    release_memory()
+    return by, scorer
 
 
 def score_documents(docs: DataFrame, model: tuple[dict[int, float], Scorer] | None = None, threshold: float = THRESHOLD) -> DataFrame:
