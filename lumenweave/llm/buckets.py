@@ -32,8 +32,13 @@ def parts_for(docs: DataFrame) -> int:
 
 
 def _groups(keys: np.ndarray, ids: np.ndarray):
-    order = np.lexsort((ids, keys))
+    order = np.argsort(keys)
     keys, ids = keys[order], ids[order]
+    # only ids that share a key have an order of their own
+    tie = np.zeros(len(keys) + 1, bool)
+    tie[1:-1] = keys[1:] == keys[:-1]
+    tied = np.flatnonzero(tie[1:] | tie[:-1])
+    ids[tied] = ids[tied][np.lexsort((ids[tied], keys[tied]))]
     if len(keys):
         keep = np.concatenate(([True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])))
         keys, ids = keys[keep], ids[keep]
@@ -101,7 +106,8 @@ class Packer:
         part = (keys % np.uint64(self.parts)).astype(np.int64)
         for kind, on in ((COLD_PAIR, ~mark), (3, mark)):
             p, k, i = part[on], keys[on], ids[on]
-            order = np.argsort(p, kind="stable")
+            # stable sorts of 16 bits go by digits
+            order = np.argsort(p.astype(np.uint16) if self.parts <= 1 << 16 else p, kind="stable")
             p, k, i = p[order], k[order], i[order]
             cut = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))) if len(p) else np.zeros(0, np.int64)
             # 40 bits within a part tell signatures apart well enough: a clash only adds a candidate
