@@ -77,11 +77,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def written(df: DataFrame, name: str, compression: str | None = None) -> tuple[DataFrame, str]:
     """``df`` written as Parquet to the shared folder and read back, so that a lost executor costs no lineage."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path), path
 
 
