@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import enrich as E
@@ -51,24 +52,41 @@ class RuleRun:
 
     rule_id: str
     findings: DataFrame | None
+    count: int
     error_type: str | None
     error_message: str | None
     seconds: float
 
 
 def rule_runs(c: Crawl, registry: Registry, pipeline: str | None = None) -> list[RuleRun]:
-    """Each rule by itself, in order of id; findings are written, so that a rule that runs does so once."""
+    """Each rule by itself, in order of id; findings are written, so that a rule that runs does so once, and counted while they are."""
     out = []
     for rule in registry.get_all(pipeline):
-        began = time.monotonic()
+        began, seen, n = time.monotonic(), Observation(), 0
         try:
-            got, error = written(rule.evaluate(c)), (None, None)
+            got, error = written(rule.evaluate(c).observe(seen, F.count(F.lit(1)).alias("n"))), (None, None)
+            n = seen.get["n"]
         except Exception as e:  # noqa: BLE001  a rule's failure is its diagnostic
             got, error = None, (type(e).__name__, str(e))
-        out.append(RuleRun(rule.rule_id, got, *error, time.monotonic() - began))
+        out.append(RuleRun(rule.rule_id, got, n, *error, time.monotonic() - began))
     return out
 
 
+def observed_diagnostics(c: Crawl, registry: Registry | None = None) -> DataFrame:
+    """(rule_id, status, findings_generated, valid_findings, invalid_findings) of the fused rules over all crawls of ``c``.
+
+    The counts are observed while the findings and their checks are written, so no job counts them afterwards.
+    """
+    rules = [r.rule_id for r in (registry or default_registry()).get_all()]
+    made, passed = Observation(), Observation()
+    is_ = lambda r: F.col("rule_id") == r
+    raw = written(run_rules(c).observe(made, *[F.count_if(is_(r)).alias(r) for r in rules]))
+    written(validation.validate_findings(raw, c.pages).observe(passed, *[F.count_if(is_(r) & (F.size("errors") == 0)).alias(r) for r in rules]))
+    g, v = made.get, passed.get
+    status = lambda r: "INVALID_FINDINGS" if g[r] > v[r] else "SUCCESS" if g[r] else "NO_FINDINGS"
+    return c.pages.sparkSession.createDataFrame([(r, status(r), g[r], v[r], g[r] - v[r]) for r in rules], "rule_id string, status string, findings_generated bigint, valid_findings bigint, invalid_findings bigint")
+
+
 def run_isolated(c: Crawl, registry: Registry, pipeline: str | None = None) -> tuple[list[tuple[str, DataFrame]], dict[str, str]]:
     """(rule, its findings) of those that run, and the errors of those that fail."""
     runs = rule_runs(c, registry, pipeline)
@@ -104,6 +122,7 @@ def audit(c: Crawl, audited_at: str, model: semantic.Model = semantic.mock_model
         try:
             raw = written(run_rules(c))
         except Exception:  # noqa: BLE001  which rule it is shows when they run one by one
+            logging.getLogger(__name__).exception("the fused plan of the rules failed; each rule runs by itself")
             runs = rule_runs(c, default_registry())
     else:
         runs = rule_runs(c, registry)

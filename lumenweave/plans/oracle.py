@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from ..operators.catalog import RULE_TEXTS
+from . import crawls
 from .overlay import SCALARS
+from .rendered import RENDERED
 
 _TEXT = {r[0]: r for r in RULE_TEXTS}
 _AUDIT = "timestamp '2024-09-04 00:00:00'"
@@ -161,3 +163,12 @@ ORACLE_SQL |= {
     "html_findings": _HTML_FINDINGS,
     "html_groups": f"with f as ({_HTML_FINDINGS}) select upper('G-' || rule_id || '-' || substr(sha256('ai_discoverability' || rule_id || 'deterministic' || severity), 1, 32)) as group_id, rule_id, (select count(*) from pages) as pages_checked, count(distinct page) as pages_affected, count(*) as n_sources from f group by rule_id, severity",
 }
+
+#: the overlay's rules over pages that were rendered as HTML and extracted again
+_R = "with o as (select page_id, " + ", ".join(f"{e} as {c}" for c, e in RENDERED.items()) + " from pages)"
+ORACLE_SQL |= {f"rendered_{n}": ORACLE_SQL[f"overlay_{n}"].replace(_O, _R) for n in ("page_rules", "engagement", "freshness", "canonical", "links", "orphans", "duplicates")}
+_FLAT = "rule_id, id, page, severity"
+ORACLE_SQL |= crawls.SQL | {
+    "observed_diagnostics": ORACLE_SQL["overlay_rule_diagnostics"],
+    "rule_functions": f"select {_FLAT}, observed_value, null as details from ({ORACLE_SQL['overlay_page_rules']}) where rule_id = 'AI-META-003' union all select {_FLAT}, observed_value, null from ({ORACLE_SQL['overlay_freshness']}) where rule_id = 'FR-DATE-002' and source = 'meta' union all select {_FLAT}, null, details from ({ORACLE_SQL['overlay_engagement']}) where rule_id = 'ENG-MEDIA-001'",
+}

@@ -15,7 +15,7 @@ from ..sources.crawl import CRAWL, UNFETCHED, Crawl, complete_pages, crawl_stati
 from ..sources.html import extract_pages
 from ..sources.tables import written
 from . import audit as A
-from . import overlay
+from . import crawls, overlay, rendered
 
 FLAT = ["rule_id", "id", "page", "severity", "title", "source", "field", "observed_value"]
 
@@ -24,41 +24,41 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def overlay_page_rules(spark, sf_dir):
+def overlay_page_rules(spark, sf_dir, crawl=overlay.crawl):
     """Page-local discoverability rules."""
-    return page_rules.evaluate(overlay.crawl(spark, sf_dir).pages).where("pipeline = 'ai_discoverability'").select(*FLAT)
+    return page_rules.evaluate(crawl(spark, sf_dir).pages).where("pipeline = 'ai_discoverability'").select(*FLAT)
 
 
-def overlay_engagement(spark, sf_dir):
+def overlay_engagement(spark, sf_dir, crawl=overlay.crawl):
     """P14, P15."""
-    return page_rules.evaluate(overlay.crawl(spark, sf_dir).pages, {"ENG-NAV-001", "ENG-MEDIA-001"}).select("rule_id", "id", "page", "severity", "details")
+    return page_rules.evaluate(crawl(spark, sf_dir).pages, {"ENG-NAV-001", "ENG-MEDIA-001"}).select("rule_id", "id", "page", "severity", "details")
 
 
-def overlay_freshness(spark, sf_dir):
+def overlay_freshness(spark, sf_dir, crawl=overlay.crawl):
     """P16 to P23, on dates parsed once."""
-    c = overlay.crawl(spark, sf_dir)
+    c = crawl(spark, sf_dir)
     return page_rules.evaluate_freshness(page_rules.with_dates(c.pages, c.crawl)).select(*FLAT)
 
 
-def overlay_canonical(spark, sf_dir):
+def overlay_canonical(spark, sf_dir, crawl=overlay.crawl):
     """J1, J2, J3."""
-    return graph_rules.canonical_rules(overlay.crawl(spark, sf_dir).pages).select(*FLAT)
+    return graph_rules.canonical_rules(crawl(spark, sf_dir).pages).select(*FLAT)
 
 
-def overlay_links(spark, sf_dir):
+def overlay_links(spark, sf_dir, crawl=overlay.crawl):
     """J1, J4, J5."""
-    return graph_rules.link_rules(overlay.crawl(spark, sf_dir).pages).select(*FLAT)
+    return graph_rules.link_rules(crawl(spark, sf_dir).pages).select(*FLAT)
 
 
-def overlay_orphans(spark, sf_dir):
+def overlay_orphans(spark, sf_dir, crawl=overlay.crawl):
     """J6."""
-    c = overlay.crawl(spark, sf_dir)
+    c = crawl(spark, sf_dir)
     return graph_rules.orphan_rule(c.pages, c.crawl).select(*FLAT)
 
 
-def overlay_duplicates(spark, sf_dir):
+def overlay_duplicates(spark, sf_dir, crawl=overlay.crawl):
     """G1 with its counts."""
-    return graph_rules.duplicate_rule(overlay.crawl(spark, sf_dir).pages).select("rule_id", "id", "page", "observed_value", "pages_checked", "pages_affected", "affected_percentage", F.array_join("sample", " ").alias("sample"), "truncated")
+    return graph_rules.duplicate_rule(crawl(spark, sf_dir).pages).select("rule_id", "id", "page", "observed_value", "pages_checked", "pages_affected", "affected_percentage", F.array_join("sample", " ").alias("sample"), "truncated")
 
 
 def overlay_robots(spark, sf_dir):
@@ -266,6 +266,16 @@ def enrichment_counts(spark, sf_dir):
     return E.enrich_counts(A.audit(overlay.crawl(spark, sf_dir), overlay.AUDIT_TIME).groups).drop("crawl_id")
 
 
+def _over(query, crawl):
+    """An overlay's query on another crawl of the same rows."""
+
+    def run(spark, sf_dir):
+        return query(spark, sf_dir, crawl)
+
+    run.__doc__ = f"{query.__doc__} On pages rendered as HTML and extracted: E1 to E19."
+    return run
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -274,3 +284,4 @@ QUERIES = {
         overlay_group_checks, overlay_compression, html_fields, html_findings, html_groups, html_all, audit_markdown, audit_json, audit_groups, enrichment_counts,
     )
 }
+QUERIES |= crawls.QUERIES | {f"rendered_{q.__name__.removeprefix('overlay_')}": _over(q, rendered.crawl) for q in (overlay_page_rules, overlay_engagement, overlay_freshness, overlay_canonical, overlay_links, overlay_orphans, overlay_duplicates)}

@@ -139,10 +139,10 @@ def test_validation(spark):
     assert ok.errors == []
     lost = f.withColumn("page", F.lit("https://example.com/none")).union(f.withColumn("page", F.lit("nope"))).union(f.withColumn("pages_affected", F.lit(2).cast("bigint")))
     msgs = sorted(e for r in validation.validate_findings(lost.select(*f.columns), c.pages).collect() for e in r.errors)
-    assert any("does not exist" in m for m in msgs) and any("Invalid URL" in m for m in msgs) and any("cannot exceed" in m for m in msgs)
+    assert any("has no page" in m for m in msgs) and any("no address" in m for m in msgs) and any("More pages" in m for m in msgs)
     n = c.pages.groupBy("crawl_id").agg(F.count("*").alias("pages"))
     g = validation.validate_groups(grouping.group(f, n), f, c).collect()[0]
-    assert not g.valid and any("unfetched" in e for e in g.errors)
+    assert not g.valid and any("never fetched" in e for e in g.errors)
 
 
 @pytest.mark.parametrize(("n", "total", "good"), [(2, 102, True), (5, 102, False)])
