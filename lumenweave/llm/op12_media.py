@@ -344,20 +344,23 @@ def _ac_refine(lanes: _Lanes, scans: list[dict], coef: np.ndarray) -> None:
     place = np.full((len(known), 128), 64, np.int8)
     rank = np.where(known, 64 + np.arange(64, dtype=np.int8) - zeros[:, :64], zeros[:, :64])
     place[np.arange(len(known))[:, None], rank] = np.arange(64, dtype=np.int8)
+    # of each block: how many of its coefficients in the band are known, for runs of blocks that have correction bits only
+    each = np.repeat(np.arange(len(lanes.bit)), lanes.last - lanes.first)
+    start = lo[each] - zeros[np.arange(len(known)), lo[each]]
+    own = hi[each] + 1 - zeros[np.arange(len(known)), hi[each] + 1] - start
+    upto = np.concatenate(([0], np.cumsum(own)))
     flat, fresh, due = coef.reshape(-1), [], []
-    p, b, k, end, runs = lanes.bit.copy(), lanes.first.copy(), lo.copy(), lanes.last, np.zeros(len(lanes.bit), np.int64)
+    p, b, k, end = lanes.bit.copy(), lanes.first.copy(), lo.copy(), lanes.last
     while len(p):
-        idle = runs > 0  # within an end-of-band run nothing is read but correction bits
-        got, q, x = _next(lanes, p, table, base)
-        bad = bad or bool(((got >= BAD) & ~idle).any())
-        symbol = np.where(idle, 0, got >> 5).astype(np.int64)
+        got, p, x = _next(lanes, p, table, base)
+        bad = bad or bool((got >= BAD).any())
+        symbol = (got >> 5).astype(np.int64)
         run, n = symbol >> 4 & 15, symbol & 15
         bad = bad or bool((n > 1).any())
-        over = idle | ((n == 0) & (run < 15))
+        over = (n == 0) & (run < 15)
         more = np.where(over, run, n)
         value = _left(x, more)
-        p = np.where(idle, p, q + more)
-        runs = np.where(over & ~idle, (1 << run) + value, runs)
+        p = p + more
         before = zeros[b, k].astype(np.int64)
         target = np.where(over, hi + 1, place[b, np.minimum(before + run, 63)])
         target = np.where(~over & (before + run >= zeros[b, 64]), hi + 2, target)
@@ -370,12 +373,21 @@ def _ac_refine(lanes: _Lanes, scans: list[dict], coef: np.ndarray) -> None:
         fresh.append((lanes.order[b[hit]] * 64 + target[hit], np.where(value[hit] > 0, 1, -1) << low[hit]))
         k = target + 1
         done = over | (k > hi)
-        runs = runs - over
         b = b + done
+        far = np.flatnonzero(over & ((run > 0) | (value > 0)))
+        if len(far):  # the blocks behind this one that the end of band holds for as well
+            blocks = (1 << run[far]) - 1 + value[far]
+            if (b[far] + blocks > end[far]).any():
+                raise Broken("an end of band leaves its scan")
+            nth = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            at = np.repeat(b[far], blocks) + nth
+            due.append((np.repeat(p[far] - upto[b[far]], blocks) + upto[at], at, start[at], own[at]))
+            p[far] += upto[b[far] + blocks] - upto[b[far]]
+            b[far] += blocks
         k = np.where(done, lo, k)
         on = b < end
         if not on.all():
-            p, b, k, end, runs, lo, hi, low, base = (y[on] for y in (p, b, k, end, runs, lo, hi, low, base))
+            p, b, k, end, lo, hi, low, base = (y[on] for y in (p, b, k, end, lo, hi, low, base))
     if bad:
         raise Broken("no such code, or a run that leaves its band")
     at, block, rank, count = (np.concatenate(c) for c in zip(*due))
