@@ -133,18 +133,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class _Powers:
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
+_NEAR = 64
 
-    @classmethod
-    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, 2 * CHUNK_BYTES)
-            a, b = np.full(size, _PRIME, np.uint64), np.full(size, pow(_PRIME, -1, 1 << 64), np.uint64)
-            a[0] = b[0] = 1
-            cls.up, cls.down = np.multiply.accumulate(a), np.multiply.accumulate(b)
-        return cls.up, cls.down
+
+def _byte_hash(key: np.ndarray) -> np.ndarray:
+    """A number for a byte at a place, key = place * 256 + byte."""
+    return mix((key.astype(np.uint64) + U64(1)) * U64(_PRIME))
+
+
+#: those of the first places
+_BYTE_HASH = _byte_hash(np.arange(_NEAR << 8))
 
 
 def chunks(texts: list, limit: int = CHUNK_BYTES):
@@ -160,7 +158,11 @@ def chunks(texts: list, limit: int = CHUNK_BYTES):
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of A-Z-lower-cased texts, and each text's first word's index (one more at the end)."""
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of A-Z-lower-cased texts, and each text's first word's index (one more at the end).
+
+    A word's hash is the sum of numbers that its bytes have at their places, each mixed by itself; so no pattern of letters cancels out, as it does in
+    sums of powers of one base.
+    """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     offsets = np.concatenate(([0], np.cumsum(sizes + 1)))
     buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -169,11 +171,17 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if len(word) and word[0]:
         edge = np.concatenate(([0], edge))
     starts, ends = edge[0::2], edge[1::2]
-    up, down = _Powers.to(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((_LOWER[buf].astype(np.uint64) + U64(1)) * up[: len(buf)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * U64(0xD6E8FEB86659FD93)), np.searchsorted(starts, offsets)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.searchsorted(starts, offsets)
+    size = ends - starts
+    first = np.cumsum(size) - size
+    key = (np.arange(size.sum(), dtype=np.int64) - np.repeat(first, size)) << 8
+    far = np.flatnonzero(key >= _NEAR << 8)
+    key |= _LOWER[buf[word]]
+    value = _BYTE_HASH.take(key, mode="clip")
+    value[far] = _byte_hash(key[far])
+    h = np.add.reduceat(value, first)
+    return mix(h + size.astype(np.uint64) * U64(0xD6E8FEB86659FD93)), np.searchsorted(starts, offsets)
 
 
 def shingle_sets(texts: list[bytes], n: int = 5):

@@ -277,3 +277,32 @@ def test_line_dedup_links_short_lines(spark):
     got = {x.key: x.component for x in op4.line_components(df).collect()}
     missed = [len(a) for a, b in pairs if got.get(op4.line_key(a), 0) != got.get(op4.line_key(b), 1)]
     assert not missed
+
+
+def alternating(n, a, b):
+    """The word of n letters in which a letter is b if its place has an odd number of ones."""
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096, 8192])
+def test_words_that_mirror_each_other_are_apart(spark, n):
+    """Sums of powers of one base modulo 2**64 give such words one hash, whatever the base."""
+    from lumenweave.llm.common import word_hashes
+
+    one, two = alternating(n, "a", "b"), alternating(n, "b", "a")
+    h, first = word_hashes([one.encode(), two.encode(), one.upper().encode(), f" {one}\t{two}\n".encode(), b"", b" \t"])
+    assert h[0] != h[1] and h[0] == h[2] == h[3] and h[1] == h[4] and first.tolist() == [0, 1, 2, 3, 5, 5, 5]
+    if n == 1024:
+        rows = [(1, one), (2, two), (3, one.upper()), (4, f"x {one} y z u v"), (5, f"x {two} y z u v"), (6, f"X {one} y z u V")]
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in op10.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (2, 4), 5: (2, 5), 6: (2, 4)}
+
+
+def test_word_hashes_do_not_depend_on_the_place():
+    from lumenweave.llm.common import word_hashes
+
+    r = random.Random(9)
+    words = ["".join(r.choice("abcé漢x") for _ in range(r.choice([1, 3, 63, 64, 65, 300]))) for _ in range(200)]
+    alone = [int(word_hashes([w.encode()])[0][0]) for w in words]
+    together = word_hashes([" ".join(words[:77]).encode(), "\n".join(words[77:]).encode()])
+    assert together[0].tolist() == alone and together[1].tolist() == [0, 77, 200] and len(set(alone)) == len(set(words))
