@@ -26,7 +26,12 @@ from .common import as_bytes, chunks, read_table, small_batches
 
 TRAIN_DOCS = 2000
 MAX_LANGS = 10_000
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of the categories Lu, Ll, Lt, Lm or Lo is there; other numerals than digits, which regular expressions take for letters, are none."""
+    return any(m.group().isalpha() for m in _MAYBE_LETTER.finditer(text))
 
 
 def fold(doc_id: Column) -> Column:
@@ -195,7 +200,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score, the posterior of equal priors; und with 0 for no text, no letter or no language learned. Ties: the first language."""
-        known = [bool(self.langs) and t is not None and _LETTER.search(t) is not None for t in texts]
+        known = [bool(self.langs) and t is not None and has_letter(t) for t in texts]
         bits = self.lengths([x if k else b"" for x, k in zip(as_bytes(texts), known)])
         best = bits.argmin(1)
         score = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)

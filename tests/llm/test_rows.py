@@ -304,3 +304,26 @@ def test_label_model_recovers_accuracies():
     post, theta = op9.fit_label_model(u, n.astype(float))
     assert ((post[inv.ravel()] >= 0.5) == truth).mean() > 0.95
     assert all(abs(theta[k, 1, 1] / (1 - theta[k, 1, 2]) - a) < 0.05 for k, a in enumerate(acc))
+
+
+def test_numerals_are_no_letters():
+    from lumenweave.llm.op5_langid import Model, has_letter
+
+    for text in ("½", "²", "Ⅷ", "①", "12 ٣", "\u0301", "_!?", "", "\U0001f600"):
+        assert not has_letter(text)
+    for text in ("x²", "²" * 1000 + "ª", "ʰ", "漢", "é"):
+        assert has_letter(text)
+    gram = (np.array([0x00006162, 0x00616263], np.int64), np.array([5, 5], np.int64))
+    model = Model(["en", "fr"], [gram, gram])
+    assert model.predict(["½", "²", "Ⅷ", "①", "ab"])[0] == ["und"] * 4 + ["en"] and model.predict(["Ⅷ"])[1] == [0.0]
+
+
+def test_cleaned_documents_keep_columns_of_any_name(spark):
+    from lumenweave.llm.op4_line_dedup import clean_documents
+
+    rows = [(1, "a line that comes twice\nown text of one", 5, "k"), (2, "a line that comes twice\n\nanother", 6, "l"), (3, None, 7, "m")]
+    for names in ("__row int, __kept string", "line_row int, line_kept string", "row int, kept string", "LINE_ROW int, key string"):
+        df = spark.createDataFrame(rows, f"doc_id long, text string, {names}")
+        got = clean_documents(df)
+        assert got.columns == df.columns
+        assert sorted(map(tuple, got.collect())) == [rows[0], (2, "\nanother", 6, "l"), rows[2]]
