@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,18 +53,37 @@ def orphan_rule(pages: DataFrame, crawl: DataFrame) -> DataFrame:
     return fire(p, (F.lit(True), finding("AI-LINK-003", F.col("url"), F.lit("0 incoming internal links found"), source="graph", field="incoming_links")))
 
 
+def _cluster_ids(batches):
+    """(crawl_id, h, key) of clusters whose addresses come in order: a digest that every address passes through, none of which is kept."""
+    last, digest = None, None
+    for batch in batches:
+        out = []
+        for crawl, h, url in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            if (crawl, h) != last:
+                out += [(*last, digest.hexdigest())] if last else []
+                last, digest = (crawl, h), hashlib.sha256(b"AI-CONTENT-001")
+            digest.update((url or "").encode("utf-8", "surrogatepass"))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], ["crawl_id", "h", "key"])
+    if last:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (*last, digest.hexdigest())], ["crawl_id", "h", "key"])
+
+
 def duplicate_rule(pages: DataFrame) -> DataFrame:
-    """Pages whose texts are equal without white space. A cluster's addresses are bounded by its pages, and it is one finding."""
+    """Pages whose texts are equal without white space. A finding's id hashes all addresses of its cluster in order, so they pass through one task, which keeps none; counts and the first five come from shares."""
     text = squeeze_out(F.col("extracted.visible_text"))
     p = pages.where(html_ok()).select("crawl_id", "page_seq", "url", text.alias("t")).where("t <> ''").select("crawl_id", "page_seq", "url", F.sha2("t", 256).alias("h"))
     total = pages.groupBy("crawl_id").agg(F.count("*").alias("pages"))
-    m = F.array_sort(F.collect_list(F.struct("page_seq", "url"))).alias("m")
-    g = p.groupBy("crawl_id", "h").agg(F.count("*").alias("n"), m).where("n > 1").join(total, "crawl_id")
+    key = ["crawl_id", "h"]
+    several = p.groupBy(*key).agg(F.count("*").alias("c")).where("c > 1").select(*key)
+    members = p.join(several, key, "left_semi")
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = members.select(*key, "url").repartition(parts, *key).sortWithinPartitions(*key, "url").mapInArrow(_cluster_ids, "crawl_id string, h string, key string")
+    g = smallest(members.select(*key, F.struct("page_seq", "url").alias("x")), key, "x", 5).withColumnRenamed("sample", "m").join(ids, key).join(total, "crawl_id")
     first = F.element_at("m", 1)
-    key = F.array_join(F.array_sort(F.transform("m", lambda x: x["url"])), "")
-    made = finding("AI-CONTENT-001", first["url"], F.concat(F.lit("Exact duplicate across "), F.col("n").cast("string"), F.lit(" pages")), key=[key], source="extracted", field="visible_text", seq=first["page_seq"])
-    n, pages, urls = F.col("n"), F.col("pages"), F.transform(F.slice("m", 1, 5), lambda x: x["url"])
-    more = {"pages_checked": pages, "pages_affected": n, "affected_percentage": F.bround(percentage(n, pages), 2), "sample": urls, "sample_count": n, "truncated": n > 5}
+    made = finding("AI-CONTENT-001", first["url"], F.concat(F.lit("Exact duplicate across "), F.col("n").cast("string"), F.lit(" pages")), key=[F.col("key")], source="extracted", field="visible_text", seq=first["page_seq"])
+    n, pages, urls = F.col("n"), F.col("pages"), F.transform("m", lambda x: x["url"])
+    more = {"id": F.upper(F.concat(F.lit("F-AI-CONTENT-001-"), F.substring("key", 1, 32))), "pages_checked": pages, "pages_affected": n, "affected_percentage": F.bround(percentage(n, pages), 2), "sample": urls, "sample_count": n, "truncated": n > 5}
     return fire(g, (F.lit(True), made), carry=("m", "n", "pages"), more=more)
 
 

@@ -19,12 +19,13 @@ RANKS = {"critical": 0, "high": 1, "medium": 2, "low": 3, "info": 4}
 def smallest(rows: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:
     """(keys, n, sample): the number of rows and the k smallest values of each group, without gathering a group.
 
-    The k smallest of each of SALTS shares come first; at most SALTS * k values meet.
+    Counts are an aggregation. Of each of SALTS shares the k smallest come first, cut before the shuffle where Spark can limit a window's groups; at most
+    SALTS * k values meet.
     """
     salted = rows.select(*keys, F.col(value).alias("v")).withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
-    w = Window.partitionBy(*keys, "salt").orderBy("v")
-    few = salted.withColumn("r", F.row_number().over(w)).withColumn("all", F.count("*").over(Window.partitionBy(*keys, "salt"))).where(F.col("r") <= k)
-    return few.groupBy(*keys).agg(F.sum(F.when(F.col("r") == 1, F.col("all"))).alias("n"), F.slice(F.array_sort(F.collect_list("v")), 1, k).alias("sample"))
+    few = salted.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "salt").orderBy("v"))).where(F.col("r") <= k)
+    sample = few.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list("v")), 1, k).alias("sample"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).join(sample, keys)
 
 
 def deduplicate(findings: DataFrame) -> DataFrame:
@@ -60,6 +61,12 @@ def report_order(groups: DataFrame) -> DataFrame:
     return groups.orderBy("crawl_id", "pipeline", severity_rank(F.col("severity")), "title", "group_id")
 
 
+def with_places(groups: DataFrame) -> DataFrame:
+    """Groups with their title's place in the report (``place``), in order of id (``id_place``), and of rule, then id (``rule_place``), counted from 1 in each crawl. A crawl has at most one group a rule and severity."""
+    w = lambda *by: F.row_number().over(Window.partitionBy("crawl_id").orderBy(*by)).cast("bigint")
+    return groups.withColumns({"place": w("pipeline", severity_rank(F.col("severity")), "title", "group_id"), "id_place": w("group_id"), "rule_place": w("rule_id", "group_id")})
+
+
 def summary(groups: DataFrame, crawls: DataFrame) -> DataFrame:
     """(crawl_id, score, total_findings, high, medium, low, info); a crawl without groups scores 100. Critical groups cost points but are not counted apart."""
     weight = F.coalesce(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])[F.col("severity")], F.lit(0))

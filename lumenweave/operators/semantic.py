@@ -105,11 +105,9 @@ def analyse(todo: DataFrame, model: Model = mock_model, budget: float = BUDGET_S
     return rows.groupBy("crawl_id").applyInPandas(run, f"crawl_id string, page_seq bigint, {RESPONSE}")
 
 
-def page_results(pages: DataFrame, model: Model = mock_model, budget: float = BUDGET_SECONDS) -> DataFrame:
-    """Every page with its final ``state`` and the model's answer, if any."""
-    c = candidates(pages)
-    got = analyse(c.where("state is null"), model, budget)
-    r = c.join(got, ["crawl_id", "page_seq"], "left")
+def judged(pages: DataFrame, answers: DataFrame) -> DataFrame:
+    """Pages with a first ``state`` (NULL: was to be analysed) and a model's answers (crawl_id, page_seq, RESPONSE): each page with its final state and the answer, if any."""
+    r = pages.join(answers, ["crawl_id", "page_seq"], "left")
     align = F.lower("alignment")
     wrong = F.exists("sources", lambda s: F.when(s["field"] == "title", ~F.col("extracted.title").contains(s["text"])).when(s["field"] == "visible_text", ~F.col("extracted.visible_text").contains(s["text"])).otherwise(True))
     state = (
@@ -123,6 +121,12 @@ def page_results(pages: DataFrame, model: Model = mock_model, budget: float = BU
     return r.withColumn("state", state)
 
 
+def page_results(pages: DataFrame, model: Model = mock_model, budget: float = BUDGET_SECONDS) -> DataFrame:
+    """Every page with its final ``state`` and the model's answer, if any."""
+    c = candidates(pages)
+    return judged(c, analyse(c.where("state is null"), model, budget))
+
+
 #: all states that a page can end in
 STATES = ("not_eligible", "skipped_by_gate", "unsupported_language", "skipped_by_budget", "analysis_failed", "invalid_model_output", "analysis_no_observation", "evidence_invalid", "analysis_success")
 

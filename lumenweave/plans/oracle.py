@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.catalog import RULE_TEXTS
-from . import crawls
+from . import checks, crawls
 from .overlay import SCALARS
 from .rendered import RENDERED
 
@@ -172,3 +172,4 @@ ORACLE_SQL |= crawls.SQL | {
     "observed_diagnostics": ORACLE_SQL["overlay_rule_diagnostics"],
     "rule_functions": f"select {_FLAT}, observed_value, null as details from ({ORACLE_SQL['overlay_page_rules']}) where rule_id = 'AI-META-003' union all select {_FLAT}, observed_value, null from ({ORACLE_SQL['overlay_freshness']}) where rule_id = 'FR-DATE-002' and source = 'meta' union all select {_FLAT}, null, details from ({ORACLE_SQL['overlay_engagement']}) where rule_id = 'ENG-MEDIA-001'",
 }
+ORACLE_SQL |= checks.sql(_EVERY, _VALID, _GROUP_ID, _GROUPS.rstrip(), ORACLE_SQL["semantic_candidates"], _O, _OK, RULE_TEXTS)

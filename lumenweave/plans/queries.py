@@ -15,7 +15,7 @@ from ..sources.crawl import CRAWL, UNFETCHED, Crawl, complete_pages, crawl_stati
 from ..sources.html import extract_pages
 from ..sources.tables import written
 from . import audit as A
-from . import crawls, overlay, rendered
+from . import checks, crawls, overlay, rendered
 
 FLAT = ["rule_id", "id", "page", "severity", "title", "source", "field", "observed_value"]
 
@@ -284,4 +284,4 @@ QUERIES = {
         overlay_group_checks, overlay_compression, html_fields, html_findings, html_groups, html_all, audit_markdown, audit_json, audit_groups, enrichment_counts,
     )
 }
-QUERIES |= crawls.QUERIES | {f"rendered_{q.__name__.removeprefix('overlay_')}": _over(q, rendered.crawl) for q in (overlay_page_rules, overlay_engagement, overlay_freshness, overlay_canonical, overlay_links, overlay_orphans, overlay_duplicates)}
+QUERIES |= crawls.QUERIES | checks.QUERIES | {f"rendered_{q.__name__.removeprefix('overlay_')}": _over(q, rendered.crawl) for q in (overlay_page_rules, overlay_engagement, overlay_freshness, overlay_canonical, overlay_links, overlay_orphans, overlay_duplicates)}
