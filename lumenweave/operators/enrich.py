@@ -33,7 +33,7 @@ Generator = Callable[[str], dict]
 
 
 class MockGenerator:
-    """A deterministic stand-in, steered by marks in the prompt."""
+    """A deterministic stand-in, steered by marks in the prompt. Its marks and texts are fixed values, which tests look for."""
 
     def __init__(self):
         self.limited = 0
@@ -111,6 +111,11 @@ def enrich(groups: DataFrame, make: Callable[[], Generator] = MockGenerator, bud
     return groups.join(got, ["crawl_id", "group_id"], "left")
 
 
+def plain(groups: DataFrame) -> DataFrame:
+    """Groups as ``enrich`` returns them, none of which was asked about."""
+    return groups.withColumns({c: F.lit(None).cast("string") for c in ("outcome", "explanation", "why_it_matters", "possible_solution")})
+
+
 def enrich_counts(enriched: DataFrame) -> DataFrame:
     n = [F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]
     return enriched.groupBy("crawl_id").agg(F.count("outcome").alias("eligible_groups"), F.count_if(F.col("outcome").isNotNull() & (F.col("outcome") != "skipped_by_budget")).alias("requests_attempted"), *n)

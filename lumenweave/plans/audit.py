@@ -106,8 +106,8 @@ class Audit:
     markdown: DataFrame
 
 
-def audit(c: Crawl, audited_at: str, model: semantic.Model = semantic.mock_model, make=E.MockGenerator, several_canonicals: bool = True, registry: Registry | None = None, timed: bool = False) -> Audit:
-    """``registry``: run these rules, one by one, in place of the fused default rules. ``timed``: the JSON report tells the stages' seconds.
+def audit(c: Crawl, audited_at: str, model: semantic.Model | None = semantic.mock_model, make=E.MockGenerator, several_canonicals: bool = True, registry: Registry | None = None, timed: bool = False) -> Audit:
+    """``model`` None: no page is analysed; ``make`` None: no group is enriched. ``registry``: run these rules, one by one, in place of the fused default rules. ``timed``: the JSON report tells the stages' seconds.
 
     Each stage is written to the shared folder: later stages read it several times, and no plan grows with the stages before it.
     If the fused plan fails, each rule runs by itself; a rule that fails is FAILED in ``rules``, and the others' findings count.
@@ -135,7 +135,7 @@ def audit(c: Crawl, audited_at: str, model: semantic.Model = semantic.mock_model
     rules = validation.rule_diagnostics(checked, (registry or default_registry()).table(spark), c.crawl, [(r.rule_id, r.error_type, r.error_message, r.seconds) for r in runs])
     lap("rule_engines")
     kept = checked.where(F.size("errors") == 0).drop("errors").select(*raw.columns)
-    pages_read = written(semantic.page_results(c.pages, model).select(*semantic.RESULT))
+    pages_read = written(semantic.page_results(c.pages if model else c.pages.where("false"), model or semantic.mock_model).select(*semantic.RESULT))
     kept = written(kept.union(semantic.interpret(pages_read).select(*raw.columns)))
     lap("nlp")
     sources = written(grouping.deduplicate(kept))
@@ -145,7 +145,7 @@ def audit(c: Crawl, audited_at: str, model: semantic.Model = semantic.mock_model
     groups = written(validation.validate_groups(grouped, sources, c, several_canonicals))
     lap("evidence_validation")
     tally = groups.groupBy("crawl_id").agg(F.count("*").alias("findings_evaluated"), F.count_if("valid").alias("evidence_valid_findings"), F.count_if(~F.col("valid")).alias("excluded_findings"))
-    valid = written(E.enrich(groups.where("valid"), make))
+    valid = written(E.enrich(groups.where("valid"), make) if make else E.plain(groups.where("valid")))
     lap("genai")
     s, scopes = grouping.summary(valid, c.crawl), E.scope(c.crawl, c.pages, c.unfetched)
     diagnostics = {"nlp": semantic.state_counts(pages_read), "genai": E.enrich_counts(valid)}

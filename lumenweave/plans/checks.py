@@ -70,6 +70,13 @@ def audit_fields(spark, sf_dir):
     )
 
 
+def audit_markdown_lines(spark, sf_dir):
+    """K2: the Markdown report's headings, severities, counts, problems and pages, in the report's order."""
+    report = A.audit(overlay.crawl(spark, sf_dir), overlay.AUDIT_TIME).markdown
+    lines = F.filter(F.split("report", "\n"), lambda x: x.rlike(r"^(#+ |\*\*(Score|Pages evaluated|Crawl status|Severity|Affected|Problem):\*\*|- \*\*Page:)"))
+    return report.select(F.array_join(lines, "\n").alias("lines"))
+
+
 #: a model's answers to documents, of every kind
 _ANSWER = """named_struct('failed', doc_id % 8 = 0, 'malformed', doc_id % 8 = 1, 'timed_out', doc_id % 8 = 7, 'apparent_topic', concat('T', cast(doc_id as string)), 'content_topic', 'C',
  'alignment', case doc_id % 8 when 2 then 'odd' when 4 then 'HIGH' else 'Low' end, 'reason', 'r', 'confidence', case doc_id % 8 when 3 then 0.84D else 0.9D end,
@@ -98,6 +105,8 @@ def sql(every: str, valid: str, group_id: str, groups: str, candidates: str, o:
     rank = "case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 when 'low' then 3 when 'info' then 4 else 99 end"
     titles = "(values " + ", ".join("('{}', '{}')".format(r[0], r[3].replace("'", "''")) for r in catalog) + ") as t(rule_id, title)"
     placed = f"row_number() over (order by pipeline, {rank}, title, group_id) as place"
+    told = "(values " + ", ".join("('{}', '{}')".format(r[0], r[4].replace("'", "''").replace("<", "&lt;").replace(">", "&gt;").replace("`", "''")) for r in catalog) + ") as p(rule_id, action)"
+    names = "(values (1, 'ai_discoverability', 'AI Discoverability'), (2, 'freshness', 'Freshness'), (3, 'engagement', 'On-site Engagement')) as n(k, pipeline, name)"
     states = f"""with d as ({candidates}), a as (select d.doc_id, d.state, text from d join documents using (doc_id)), s as (select doc_id, text, case when state <> 'analysed' then state else
  case doc_id % 8 when 0 then 'analysis_failed' when 7 then 'analysis_failed' when 1 then 'invalid_model_output' when 2 then 'invalid_model_output' when 3 then 'analysis_no_observation' when 4 then 'analysis_no_observation' when 6 then 'evidence_invalid' else 'analysis_success' end end as state from a)"""
     return {
@@ -110,9 +119,15 @@ def sql(every: str, valid: str, group_id: str, groups: str, candidates: str, o:
         "audit_fields": f"""with v as ({valid}), g as (select v.*, title, {placed} from v join {titles} using (rule_id) where good), n as (select count(*) as n from v)
  select 'https://site.example/p0' as site, greatest(0, 100 - sum(case severity when 'high' then 20 when 'medium' then 10 when 'low' then 5 end))::bigint as score, count(*) as total_findings, count(*) filter (severity = 'high') as high, count(*) filter (severity = 'medium') as medium, count(*) filter (severity = 'low') as low,
  case when (select count(*) from pages where page_id % 25 = 6) > 0 then 'Partial' else 'Complete' end as status, (select count(*) from pages) as pages_evaluated, n.n as findings_evaluated, count(*) as evidence_valid_findings, n.n - count(*) as excluded_findings, string_agg(rule_id || '=' || pages_affected, ' ' order by place) as findings from g, n group by n.n""",
+        "audit_markdown_lines": f"""with v as ({valid}), m as (select pipeline, rule_id, severity, min(page) as page from ({every}) where ok group by all), g as (select v.*, title, action, page, {placed}, k, name from v join m using (pipeline, rule_id, severity) join {titles} using (rule_id) join {told} using (rule_id) join {names} using (pipeline) where good),
+ s as (select greatest(0, 100 - sum(case severity when 'high' then 20 when 'medium' then 10 when 'low' then 5 end)) as score from g), c as (select count(*) as n, count(*) filter (page_id % 25 = 6) as lost from pages),
+ w as (select k, place, '### ' || title || chr(10) || '**Severity:** ' || upper(severity[1]) || severity[2:] || chr(10) || '**Affected:** ' || pages_affected || ' of ' || n || ' evaluated pages' || chr(10) || '**Problem:** ' || action || chr(10) || '- **Page:** `' || page || '`' || case when pipeline <> 'engagement' then chr(10) || '### GenAI Context' else '' end as line from g, c
+   union all select distinct k, 0, '## ' || name from g union all select 9, 0, '## Audit Validation Summary'
+   union all select 0, 0, '# AI Readiness Audit Report: https://site.example/p0' || chr(10) || '**Score:** ' || score || '/100' || chr(10) || '**Pages evaluated:** ' || n || chr(10) || '**Crawl status:** ' || case when lost > 0 then 'Partial' else 'Complete' end from s, c)
+ select string_agg(line, chr(10) order by k, place) as lines from w""",
         "semantic_states": f"{states} select doc_id, state from s",
         "semantic_findings": f"{states}, u as (select doc_id, text, 'https://x.example/d/' || doc_id as page from s where state = 'analysis_success') select upper('F-SEMANTIC_TOPIC_RELEVANCE-' || substr(sha256('SEMANTIC_TOPIC_RELEVANCE' || page), 1, 32)) as id, page, 'medium' as severity, 'SEMANTIC_TOPIC_RELEVANCE' as rule_id, 'Apparent topic: T' || doc_id || ' vs Content topic: C' as observed_value, substring(text, 3, 20) as excerpt, 0.9::double as confidence from u",
     }
 
 
-QUERIES = {f.__name__: f for f in (overlay_source_checks, overlay_spoiled_groups, overlay_scopes, overlay_report_order, audit_fields, semantic_states, semantic_findings)}
+QUERIES = {f.__name__: f for f in (overlay_source_checks, overlay_spoiled_groups, overlay_scopes, overlay_report_order, audit_fields, audit_markdown_lines, semantic_states, semantic_findings)}

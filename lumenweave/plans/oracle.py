@@ -139,6 +139,9 @@ _SOURCED = "case when rule_id = 'AI-CANONICAL-002' then false when rule_id = 'AI
 _VALID = f"select pipeline, rule_id, severity, {_GROUP_ID} as group_id, count(distinct page) as pages_affected, {_SOURCED} as good from ({_EVERY}) where ok group by pipeline, rule_id, severity"
 _HTML = "select page_id, url, html from pages"
 
+#: addresses that the raw pages' links lead to
+_HTML_LINKS = """select case when starts_with(x, '/') then regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || x else x end as u from (select url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1)) as x from pages)"""
+
 
 def _html_find(rule: str, when: str, observed: str) -> str:
     return f"select '{rule}' as rule_id, {_id(rule, 'url')} as id, url as page, '{_TEXT[rule][2]}' as severity, {observed} as observed_value from ({_HTML}) where {when}"
@@ -149,7 +152,7 @@ _HTML_FINDINGS = _all(
     _html_find("AI-META-003", "not contains(html, 'name=\"description\"') and not contains(html, 'og:description')", "'None or empty'"),
     _html_find("AI-HTML-001", "not regexp_matches(html, '<h1[ >]')", "'0 H1 tags found'"),
     _html_find("AI-META-001", "not regexp_matches(html, '<title[ >]')", "'None'"),
-    _html_find("AI-LINK-003", "true", "'0 incoming internal links found'"),
+    _html_find("AI-LINK-003", f"url not in (select regexp_replace(u, '#.*$', '') from ({_HTML_LINKS}))", "'0 incoming internal links found'"),
 )
 ORACLE_SQL |= {
     "overlay_rule_diagnostics": f"select r.rule_id, case when coalesce(g, 0) > coalesce(v, 0) then 'INVALID_FINDINGS' when coalesce(g, 0) = 0 then 'NO_FINDINGS' else 'SUCCESS' end as status, coalesce(g, 0) as findings_generated, coalesce(v, 0) as valid_findings, coalesce(g, 0) - coalesce(v, 0) as invalid_findings from {_CATALOG} left join (select rule_id, count(*) as g, count(*) filter (where ok) as v from ({_EVERY}) group by rule_id) using (rule_id)",

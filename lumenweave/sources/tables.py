@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +17,19 @@ def new_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='lumenweave-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/lw-{uuid.uuid4().hex}"
+    return f"{_application_folder(root.rstrip('/'), spark.sparkContext.applicationId)}/{uuid.uuid4().hex}"
+
+
+@lru_cache(8)
+def _application_folder(root: str, application: str) -> str:
+    """The application's own folder, which goes when its JVM ends in order, whether or not the session was stopped before."""
+    spark = SparkSession.getActiveSession()
+    path = f"{root}/lw-{application}-{uuid.uuid4().hex[:8]}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:

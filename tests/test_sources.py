@@ -37,18 +37,18 @@ def rows(df, *drop):
 
 @pytest.mark.parametrize("indent", [None, 1])
 def test_a_dump_read_by_many_tasks(spark, tmp_path, indent):
-    for name, d in (("a", dump(60, 1)), ("b", dump(0, 2, 0)), ("c", dump(1, 3, 1, unknown=[1, {"x": [2]}], other={"y": {}})), ("d", {})):
+    for name, d in (("a", dump(25, 1)), ("b", dump(0, 2, 0)), ("c", dump(1, 3, 1, unknown=[1, {"x": [2]}], other={"y": {}})), ("d", {})):
         (tmp_path / f"{name}.json").write_text(json.dumps(d, indent=indent, ensure_ascii=name == "a"))
     old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     try:
-        for size, chunk in (("3000", 700), ("20000", 1)):
+        for size, chunk in (("5000", 700), ("20000", 1)):
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
             spark.conf.set("spark.sql.files.openCostInBytes", "0")
             got, want = dumps.load_dumps(spark, f"{tmp_path}/*.json", chunk), load_json(spark, f"{tmp_path}/*.json")
             assert rows(got.pages) == rows(want.pages)
             assert rows(got.unfetched) == rows(want.unfetched)
             assert rows(got.crawl) == rows(want.crawl)
-        assert got.pages.where("crawl_id like '%a.json'").agg(F.max("page_seq"), F.count_distinct("page_seq")).first()[:] == (59, 60)
+        assert got.pages.where("crawl_id like '%a.json'").agg(F.max("page_seq"), F.count_distinct("page_seq")).first()[:] == (24, 25)
         assert spark.read.option("lineSep", "}").text(f"{tmp_path}/a.json").rdd.getNumPartitions() > 3
     finally:
         for k, v in old.items():
