@@ -6,9 +6,10 @@ counts only if a share t of it, the threshold, occurs in several components; dro
 Sets equal on what is left are a class. Within it, a link depends on sizes alone, and whoever links with any member links with the smallest.
 
 Classes meet in clusters: those connected by the rarest elements of each, of which linked classes share one. A cluster is dealt to tiles of
-bounded size within bands of set sizes, pairs of tiles of equal or adjacent bands are compared in one task each, and a pair of tiles returns no more than
-a spanning forest and, for each class, the largest size of a member that links with another class. So rows out stay below rows in; the comparisons
-within a cluster grow with its square, as none of its sets can be told apart by any element that it has.
+bounded size within bands of set sizes, and ``SQUARE`` tiles make a side. A task gets two sides of equal or adjacent bands and compares their tiles pair by pair, so that a class
+travels once a side of its cluster, not once a tile; it returns no more than a spanning forest and, for each class, the largest size of a member that links
+with another class. So rows out stay below rows in. The comparisons within a cluster grow with its square, as none of its sets can be told apart by any element
+that it has, and what travels grows as that over a side's sets (SQUARE * TILE).
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from .common import Forest, components, written
 
 ROUNDS = 2
 TILE, TILE_ELEMENTS = 256, 100_000
+SQUARE = 16
 STRIPE = 4096
 
 
@@ -97,7 +99,22 @@ def tile_links(x: tuple, y: tuple | None, num: int, den: int):
     return (np.concatenate(c) for c in zip(*out))
 
 
-def family_links(sets: DataFrame, num: int = 3, den: int = 4, tile: int = TILE, tile_elements: int = TILE_ELEMENTS) -> DataFrame:
+def _least_rows(rows: list[np.ndarray]) -> pa.Table:
+    """Of many tiles' rows (a, b, most) one spanning forest, and each class's largest ``most``."""
+    a, b, most = (np.asarray(c, np.int64) for c in rows)
+    edge = most < 0
+    every, at = np.unique(np.concatenate((a[edge], b[edge])), return_inverse=True)
+    forest = Forest(len(every))
+    forest.join(at[: edge.sum()], at[edge.sum() :])
+    inner = np.flatnonzero(forest.root != np.arange(len(every)))
+    order = np.lexsort((b[~edge], -most[~edge], a[~edge]))
+    a, b, most = a[~edge][order], b[~edge][order], most[~edge][order]
+    best = np.concatenate(([True], a[1:] != a[:-1])) if len(a) else np.zeros(0, bool)
+    out = zip((every[inner], every[forest.root[inner]], np.full(len(inner), -1)), (a[best], b[best], most[best]))
+    return pa.table([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["a", "b", "most"])
+
+
+def family_links(sets: DataFrame, num: int = 3, den: int = 4, tile: int = TILE, tile_elements: int = TILE_ELEMENTS, square: int = SQUARE) -> DataFrame:
     """Edges (a, b) that join the components of the sets (id, c, h) of distinct longs wherever two sets of different components have a Jaccard of num/den or more."""
     rows = shared_elements(sets, num, den)
     full = rows.groupBy("id", "c", "size").agg(F.array_sort(F.collect_list("t")).alias("g")).withColumns({"k1": F.xxhash64("g"), "k2": F.xxhash64(F.lit(1), "g")})
@@ -121,37 +138,41 @@ def family_links(sets: DataFrame, num: int = 3, den: int = 4, tile: int = TILE,
     dealt = one.join(clusters.select(F.col("node").alias("k"), F.col("component").alias("cluster")), "k").withColumns({"n": F.size("g"), "band": band})
     amount = dealt.groupBy("cluster", "band").agg(F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / tile_elements)).cast("int").alias("tiles"))
     amount, _ = written(amount, "family-tiles")
-    beside = lambda name, by: amount.select("cluster", (F.col("band") + by).alias("band"), F.col("tiles").alias(name))
-    info = amount.join(beside("above", -1), ["cluster", "band"], "left").join(beside("below", 1), ["cluster", "band"], "left")
-    dealt = dealt.join(info, ["cluster", "band"]).withColumn("p", F.pmod(F.xxhash64("k"), F.col("tiles")).cast("int"))
+    sides = F.ceil(F.col("tiles") / F.lit(square)).cast("int")
+    beside = lambda name, by: amount.select("cluster", (F.col("band") + by).alias("band"), sides.alias(name))
+    info = amount.withColumn("sides", sides).join(beside("above", -1), ["cluster", "band"], "left").join(beside("below", 1), ["cluster", "band"], "left")
+    dealt = dealt.join(info, ["cluster", "band"]).withColumn("tile", F.pmod(F.xxhash64("k"), F.col("tiles")).cast("int")).withColumn("p", F.floor(F.col("tile") / F.lit(square)).cast("int"))
     upto = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
     pair = lambda b1, p1, b2, p2, side: F.struct(b1.alias("b1"), p1.alias("p1"), b2.alias("b2"), p2.alias("p2"), side.cast("int").alias("side"))
     p, b = F.col("p"), F.col("band")
     to = F.concat(
-        F.transform(upto("tiles"), lambda q: pair(b, F.least(p, q), b, F.greatest(p, q), p > q)),
+        F.transform(upto("sides"), lambda q: pair(b, F.least(p, q), b, F.greatest(p, q), p > q)),
         F.transform(upto("above"), lambda q: pair(b, p, b + 1, q, F.lit(0))),
         F.transform(upto("below"), lambda q: pair(b - 1, q, b, p, F.lit(1))),
     )
-    dealt = dealt.select("cluster", F.explode(to).alias("to"), "k", "least", "g").select("cluster", "to.*", "k", "least", "g")
+    dealt = dealt.select("cluster", F.explode(to).alias("to"), "tile", "k", "least", "g").select("cluster", "to.*", "tile", "k", "least", "g")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        side, ids, least = (table.column(c).to_numpy() for c in ("side", "k", "least"))
+        side, tile_no, ids, least = (table.column(c).to_numpy() for c in ("side", "tile", "k", "least"))
         lists = table.column("g").combine_chunks()
         flat, off = lists.values.to_numpy(), lists.offsets.to_numpy()
-        tiles = []
-        for s in (0, 1):
-            on = np.flatnonzero(side == s)
-            tiles.append((ids[on], least[on], [flat[off[i] : off[i + 1]] for i in on]))
-        x, y = tiles
-        out = [np.zeros(0, np.int64)] * 3
-        if not (len(x[0]) and len(y[0])):
-            # a tile with itself; where bands differ, one side alone has nothing to meet
-            if table.column("b1")[0] == table.column("b2")[0] and table.column("p1")[0] == table.column("p2")[0]:
-                out = list(tile_links(x, None, num, den))
-        else:
-            out = list(tile_links(x, y, num, den))
-        return pa.table([pa.array(np.asarray(c, np.int64)) for c in out], names=["a", "b", "most"])
+
+        def tiles(s: int) -> list[tuple]:
+            out = []
+            for t in np.unique(tile_no[side == s]):
+                on = np.flatnonzero((side == s) & (tile_no == t))
+                out.append((ids[on], least[on], [flat[off[i] : off[i + 1]] for i in on]))
+            return out
+
+        first, second = tiles(0), tiles(1)
+        pairs: list[tuple] = []
+        if table.column("b1")[0] == table.column("b2")[0] and table.column("p1")[0] == table.column("p2")[0]:
+            # a side with itself
+            pairs = [(x, None if i == j else first[j]) for i, x in enumerate(first) for j in range(i, len(first))]
+        elif first and second:  # where bands differ, one side alone has nothing to meet
+            pairs = [(x, y) for x in first for y in second]
+        return _least_rows([np.concatenate(c) for c in zip(*(tuple(tile_links(x, y, num, den)) for x, y in pairs))] if pairs else [np.zeros(0, np.int64)] * 3)
 
     found, _ = written(dealt.groupBy("cluster", "b1", "p1", "b2", "p2").applyInArrow(run, "a bigint, b bigint, most bigint"), "family-links")
     reach = found.where("most > 0").groupBy(F.col("a").alias("k")).agg(F.max(F.struct("most", "b")).alias("r"))
