@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, read_table, small_batches, written
 
 UNIT = 576
-BATCH = 4 << 20
+BATCH = 2 << 20
 INTERVAL = 8  # units or blocks between restart markers
 STEP = 8  # of quantisation
 BAD = 1 << 20
