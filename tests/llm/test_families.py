@@ -24,8 +24,8 @@ def family(r, n, size, changes, base):
     return out
 
 
-@pytest.mark.parametrize("tile", [7, 256])
-def test_family_links_join_what_brute_force_joins(spark, tile):
+@pytest.mark.parametrize(("tile", "square"), [(7, 2), (7, 16), (256, 16)])
+def test_family_links_join_what_brute_force_joins(spark, tile, square):
     r = random.Random(tile)
     sets = family(r, 120, 60, [2, 4, 6, 8, 9, 10], 0) + family(r, 60, 35, [0, 1, 3, 5, 6], 10**8)
     passage = list(range(2 * 10**8, 2 * 10**8 + 80))
@@ -36,7 +36,7 @@ def test_family_links_join_what_brute_force_joins(spark, tile):
     given = [(i, c) for i, c in enumerate(start) if i != c]
     comp = labels(len(sets), given)
     df = spark.createDataFrame([(i, comp[i], sorted(s)) for i, s in enumerate(sets)], "id long, c long, h array<long>").repartition(5)
-    got = [(x.a, x.b) for x in family_links(df, tile=tile).collect()]
+    got = [(x.a, x.b) for x in family_links(df, tile=tile, square=square).collect()]
     assert labels(len(sets), given + got) == labels(len(sets), given + edges)
     assert family_links(df.limit(0)).count() == 0
 
