@@ -41,6 +41,13 @@ def overlay_spoiled_groups(spark, sf_dir):
     return validation.validate_groups(written(spoiled), f, c).select("group_id", "rule_id", "valid", F.size("errors").cast("bigint").alias("n_errors"))
 
 
+def enrichment_prompts(spark, sf_dir):
+    """What a model would be asked about each group of page rules, one request a group that has an observed value."""
+    c = overlay.crawl(spark, sf_dir)
+    g = _groups(c, grouping.deduplicate(written(page_rules.evaluate(c.pages))))
+    return g.where("observed_value is not null").select("group_id", E.prompt().alias("prompt"))
+
+
 def overlay_scopes(spark, sf_dir):
     """What part of a crawl was evaluated, for crawls of a few kinds."""
     f = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("concat('c', cast(page_id % 7 as string)) as crawl_id", "page_id")
@@ -125,9 +132,10 @@ def sql(every: str, valid: str, group_id: str, groups: str, candidates: str, o:
    union all select distinct k, 0, '## ' || name from g union all select 9, 0, '## Audit Validation Summary'
    union all select 0, 0, '# AI Readiness Audit Report: https://site.example/p0' || chr(10) || '**Score:** ' || score || '/100' || chr(10) || '**Pages evaluated:** ' || n || chr(10) || '**Crawl status:** ' || case when lost > 0 then 'Partial' else 'Complete' end from s, c)
  select string_agg(line, chr(10) order by k, place) as lines from w""",
+        "enrichment_prompts": f"{groups} select upper('G-' || rule_id || '-' || substr(sha256('ai_discoverability' || rule_id || 'deterministic' || severity), 1, 32)) as group_id, 'Explain the impact of ''' || title || ''' (Severity: ' || severity || '). Observed: ' || observed_value || '.' as prompt from g",
         "semantic_states": f"{states} select doc_id, state from s",
         "semantic_findings": f"{states}, u as (select doc_id, text, 'https://x.example/d/' || doc_id as page from s where state = 'analysis_success') select upper('F-SEMANTIC_TOPIC_RELEVANCE-' || substr(sha256('SEMANTIC_TOPIC_RELEVANCE' || page), 1, 32)) as id, page, 'medium' as severity, 'SEMANTIC_TOPIC_RELEVANCE' as rule_id, 'Apparent topic: T' || doc_id || ' vs Content topic: C' as observed_value, substring(text, 3, 20) as excerpt, 0.9::double as confidence from u",
     }
 
 
-QUERIES = {f.__name__: f for f in (overlay_source_checks, overlay_spoiled_groups, overlay_scopes, overlay_report_order, audit_fields, audit_markdown_lines, semantic_states, semantic_findings)}
+QUERIES = {f.__name__: f for f in (overlay_source_checks, overlay_spoiled_groups, overlay_scopes, overlay_report_order, audit_fields, audit_markdown_lines, enrichment_prompts, semantic_states, semantic_findings)}

@@ -199,7 +199,7 @@ def overlay_scores(spark, sf_dir):
 
 
 def overlay_group_checks(spark, sf_dir):
-    """Groups with validity and error counts."""
+    """Groups with validity and error counts; one rule's groups fail, and a second where the first page is missing."""
     c = overlay.crawl(spark, sf_dir)
     f = written(grouping.deduplicate(written(A.run_rules(c))))
     g = validation.validate_groups(grouping.group(f, c.pages.groupBy("crawl_id").agg(F.count("*").alias("pages"))), f, c)
@@ -227,7 +227,7 @@ def html_crawl(spark, sf_dir) -> Crawl:
 
 
 def html_findings(spark, sf_dir):
-    """E2 to E22 into every rule: the findings on raw pages, from HTML to rules."""
+    """The findings on raw pages, from HTML to rules. Few rules fire on these pages, each on all of them; ``rendered_*`` hold extraction against all rules."""
     return A.run_rules(html_crawl(spark, sf_dir)).select("rule_id", "id", "page", "severity", "observed_value")
 
 
