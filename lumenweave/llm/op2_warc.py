@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import new_path, read_table, small_batches, written
 
 MIN_REVISIT = 1000
-RECORDS_PER_FILE = 6000
+RECORDS_PER_FILE, FILE_BYTES = 6000, 128 << 20
 BROADCAST_ROWS = 200_000  # of about 150 bytes
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -44,8 +44,8 @@ def _record(kind: str | Column, headers: dict[str, Column], block: Column) -> Co
     return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), block)
 
 
-def first_copies(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """(rid, first) of the rows that are revisits: their record's id, and (page_id, id) of the response that holds their payload.
+def first_copies(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> tuple[DataFrame, int]:
+    """(rid, first) of the rows that are revisits: their record's id, and (page_id, id) of the response that holds their payload. And the bytes of the largest payload, at least ``min_revisit``.
 
     Only identifiers, digests and lengths are shuffled, never a payload; rows of one payload meet by partial aggregation and a join on the digest.
     """
@@ -58,12 +58,12 @@ def first_copies(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     ids = among.where(F.col("page_id").eqNullSafe(F.col("best"))).groupBy("sha1", "n").agg(F.max("rid").alias("best_id"))
     others = among.join(ids, ["sha1", "n"]).where("rid <> best_id")
     out, _ = written(others.select("rid", F.struct(F.col("best").alias("page_id"), F.col("best_id").alias("id")).alias("first")), "revisits")
-    return out
+    return out, max(min_revisit, p.agg(F.max("n")).first()[0] or 0)
 
 
-def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """One column ``value``: the text of each WARC record, three for every row of pages(page_id, url, html, capture_key)."""
-    revisits = first_copies(pages, min_revisit)
+def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> tuple[DataFrame, int]:
+    """One column ``value``: the text of each WARC record, three for every row of pages(page_id, url, html, capture_key). And the bytes of the largest payload."""
+    revisits, largest = first_copies(pages, min_revisit)
     p = pages.select("page_id", "url", "capture_key", _uuid(F.lit("response"), F.col("capture_key")).alias("rid"), F.coalesce("html", F.lit("")).alias("html"))
     # beyond the bound the rows are dealt by their own identifier, evenly however popular a payload is
     p = p.join(F.broadcast(revisits) if revisits.count() <= BROADCAST_ROWS else revisits, "rid", "left")
@@ -80,12 +80,15 @@ def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     request = _record("request", {"WARC-Record-ID": _uuid(F.lit("request"), F.col("capture_key")), **common, "Content-Type": F.lit("application/http;msgtype=request")}, F.concat(F.lit("GET "), uri, F.lit(" HTTP/1.1\r\n\r\n")))
     fields = F.concat_ws("\r\n", F.concat(F.lit("page-id: "), F.col("page_id").cast("string")), F.concat(F.lit("payload-length: "), F.col("n").cast("string")), F.concat(F.lit("url-is-null: "), F.col("url").isNull().cast("string")))
     meta = _record("metadata", {"WARC-Record-ID": _uuid(F.lit("metadata"), F.col("capture_key")), **common, "Content-Type": F.lit("application/warc-fields")}, fields)
-    return p.select(F.explode(F.array(answer, request, meta)).alias("value"))
+    return p.select(F.explode(F.array(answer, request, meta)).alias("value")), largest
 
 
-def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, per_file: int = RECORDS_PER_FILE) -> None:
-    """Gzipped WARC files of at most ``per_file`` records each."""
-    records(pages, min_revisit).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
+    """Gzipped WARC files of at most ``per_file`` records each, and so few that their payloads stay within ``file_bytes`` (or one capture is a file)."""
+    rows, largest = records(pages, min_revisit)
+    # one record of three has a payload
+    most = max(3, min(per_file, 3 * (file_bytes // largest)))
+    rows.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).option("compression", "gzip").text(path)
 
 
 def parse(stream: BinaryIO):

@@ -327,3 +327,21 @@ def test_cleaned_documents_keep_columns_of_any_name(spark):
         got = clean_documents(df)
         assert got.columns == df.columns
         assert sorted(map(tuple, got.collect())) == [rows[0], (2, "\nanother", 6, "l"), rows[2]]
+
+
+def test_archives_are_cut_by_bytes_and_a_payload_may_be_everywhere(spark, tmp_path):
+    import os
+
+    hot = "the hot page " * 200
+    rows = [(i, f"u{i}", hot if i % 3 == 0 else "x" * 300_000 + str(i) if i % 50 == 1 else f"page {i} " * 300) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2).withColumn("capture_key", F.col("page_id"))
+    op2.write_archives(df, f"file://{tmp_path}/w", file_bytes=1_000_000)
+    assert len([x for x in os.listdir(tmp_path / "w") if x.endswith(".gz")]) == 2 * -(-450 // 9)
+    got = {r.page_id: r for r in op2.captures(op2.read_archives(spark, f"file://{tmp_path}/w")).collect()}
+    assert len(got) == 300
+    for i, _, html in rows:
+        r = got[i].response
+        if i % 3 == 0 and i != 297:
+            assert (r.kind, r.refers_to_page, r.declared_digest) == ("revisit", 297, hashlib.sha1(hot.encode()).hexdigest())
+        else:
+            assert (r.kind, r.payload_bytes, bytes(r.payload)) == ("response", len(html), html.encode())
