@@ -91,7 +91,8 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
 
     Vectors link when their cosine, in double precision, is at least ``cosine``. Vectors that are null, zero or hold null or
     non-finite components, and rows with a null id, link with nothing; vectors of different lengths don't link. Ids
-    are taken to tell rows apart: rows that repeat an id are vectors of their own that share their links' count and component.
+    are taken to tell vectors apart: rows that repeat an id are compared each, with one another too, and every one of them gets the sum of their links and
+    their common component. Of rows with a null id the component is null, and they are kept.
     component_id is the smallest id reachable; kept says that it is the row's own. Empty input gives an empty result; extra columns are ignored.
     """
     spark = vectors.sparkSession
@@ -146,6 +147,8 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
+                if row["p"] != row["q"] and len(row["sides"]) < 2:
+                    continue  # the other tile is empty
                 dim, e = row["dim"], np.array(row["energy"])
                 rot, cuts = rotation(dim), blocks(dim)
                 share = np.array([e[c].sum() for c in cuts]) + 1e-9

@@ -185,7 +185,7 @@ def test_line_dedup(spark):
     got = {x.key: x.component for x in op4.line_components(df).collect()}
     keys = [op4.line_key(x) for x in lines]
     linked = [got.get(keys[a], keys[a]) == got.get(keys[b], keys[b]) for a, b in sure]
-    assert sum(linked) >= 0.95 * len(linked)
+    assert sum(linked) >= 0.98 * len(linked)
     assert all(want[a] == want[b] for a in range(len(lines)) for b in range(a) if got.get(keys[a], keys[a]) == got.get(keys[b], keys[b]))
     out = {x.doc_id: x for x in op4.per_document(df).collect()}
     assert len(out) == 120 and out[0].n_lines == out[1].n_lines == out[2].n_lines == 0
@@ -306,3 +306,11 @@ def test_word_hashes_do_not_depend_on_the_place():
     alone = [int(word_hashes([w.encode()])[0][0]) for w in words]
     together = word_hashes([" ".join(words[:77]).encode(), "\n".join(words[77:]).encode()])
     assert together[0].tolist() == alone and together[1].tolist() == [0, 77, 200] and len(set(alone)) == len(set(words))
+
+
+def test_vectors_with_null_and_repeated_ids(spark):
+    one, near, far = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 0.0, 5.0]
+    rows = [(None, one), (None, near), (4, one), (4, far), (7, near), (9, far), (9, far), (11, [-1.0, 0.0, 0.0]), (12, None)]
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile=2).collect())
+    # 4 links with 7 once and with both of 9; each of 9 with the other and with 4
+    assert got == sorted([("None", 0, "None", True)] * 2 + [("4", 3, "4", True)] * 2 + [("7", 1, "4", False)] + [("9", 4, "4", False)] * 2 + [("11", 0, "11", True), ("12", 0, "12", True)])
