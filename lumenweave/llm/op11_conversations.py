@@ -35,7 +35,7 @@ ROLES = "sua"
 FAR = 1 << 40
 GOAL = (0, 2 * INSERT, INSERT, 0)  # what each state still costs behind the last row
 PIECE_ROWS, PIECE_BYTES = 4096, 1 << 20
-PIECE = "conv_id bigint, seq bigint, illegal bigint, first string, last string, cost bigint, audit string, repaired_sha256 string, costs array<bigint>, deleted bigint, roles array<string>, texts array<string>, must array<boolean>, cut array<boolean>, n array<bigint>"
+PIECE = "conv_id bigint, seq bigint, illegal bigint, first string, last string, cost bigint, audit string, lines bigint, repaired string, costs array<bigint>, deleted bigint, roles array<string>, texts array<string>, must array<boolean>, cut array<boolean>, n array<bigint>"
 
 
 # --- one conversation --------------------------------------------------------------------------------------
@@ -200,11 +200,11 @@ def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 
 
 _LONG, _TEXT = pa.int64(), pa.string()
-_PIECE = pa.schema([("conv_id", _LONG), ("seq", _LONG), ("illegal", _LONG), ("first", _TEXT), ("last", _TEXT), ("cost", _LONG), ("audit", _TEXT), ("repaired_sha256", _TEXT), ("costs", pa.list_(_LONG)), ("deleted", _LONG), ("roles", pa.list_(_TEXT)), ("texts", pa.list_(_TEXT)), ("must", pa.list_(pa.bool_())), ("cut", pa.list_(pa.bool_())), ("n", pa.list_(_LONG))])
-_EMPTY = dict.fromkeys(("cost", "audit", "repaired_sha256", "costs", "deleted", "roles", "texts", "must", "cut", "n"))
+_PIECE = pa.schema([("conv_id", _LONG), ("seq", _LONG), ("illegal", _LONG), ("first", _TEXT), ("last", _TEXT), ("cost", _LONG), ("audit", _TEXT), ("lines", _LONG), ("repaired", _TEXT), ("costs", pa.list_(_LONG)), ("deleted", _LONG), ("roles", pa.list_(_TEXT)), ("texts", pa.list_(_TEXT)), ("must", pa.list_(pa.bool_())), ("cut", pa.list_(pa.bool_())), ("n", pa.list_(_LONG))])
+_EMPTY = dict.fromkeys(("cost", "audit", "lines", "repaired", "costs", "deleted", "roles", "texts", "must", "cut", "n"))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], piece_rows: int, piece_bytes: int) -> Iterator[pa.RecordBatch]:
     """Solved conversations and pieces of others, from a task's rows in order."""
     part, count, out, out_bytes = TaskContext.get().partitionId(), 0, [], 0
     cols: list[list] = [[] for _ in range(5)]
@@ -218,10 +218,10 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = _EMPTY | {"conv_id": conv, "seq": part << 32 | count, "illegal": rows.illegal, "first": rows.roles[0][:1], "last": rows.roles[-1][:1]}
         if whole and not open_end:
             cost, audit, lines = solve(rows)
-            row |= {"cost": cost, "audit": audit, "repaired_sha256": sha("\n".join(lines))}
+            row |= {"cost": cost, "audit": audit, "lines": len(lines), "repaired": "\n".join(lines)}
         else:
             row |= {"costs": between(rows.symbols), "deleted": rows.deleted, "roles": rows.roles, "texts": rows.texts, "must": rows.must, "cut": rows.cut, "n": rows.n}
-            out_bytes += size
+        out_bytes += size
         out.append(row)
         count, cols, size = count + 1, [[] for _ in range(5)], 0
 
@@ -232,13 +232,13 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not begun or x != conv:
                 close(False)
                 whole, conv, begun = begun, x, True
-            elif len(cols[0]) >= PIECE_ROWS or size >= PIECE_BYTES:
+            elif len(cols[0]) >= piece_rows or size >= piece_bytes:
                 close(True)
                 whole = False
             for c, v in zip(cols, (roles[i], texts[i], must[i], cut[i], n[i])):
                 c.append(v)
             size += len(texts[i])
-            if len(out) >= 2000 or out_bytes >= PIECE_BYTES:
+            if len(out) >= 2000 or out_bytes >= piece_bytes:
                 yield _batch(out, _PIECE)
                 out, out_bytes = [], 0
     close(True)
@@ -256,16 +256,17 @@ def _ordered(df: DataFrame, *order: Column | str) -> DataFrame:
 
 
 def _behind(batches):
-    """From each conversation's last piece to its first: the distances that the states behind a piece have."""
+    """From each conversation's last piece to its first: the distances that the states behind a piece have, and whether it is the last."""
     begun, conv, goal = False, None, GOAL
     for batch in batches:
         out = []
         for r in batch.to_pylist():
-            if not begun or r["conv_id"] != conv:
+            end = not begun or r["conv_id"] != conv
+            if end:
                 begun, conv, goal = True, r["conv_id"], GOAL
-            out.append({"seq": r["seq"], "goal": list(goal)})
+            out.append({"seq": r["seq"], "goal": list(goal), "ends": end})
             goal = tuple(min(r["costs"][4 * q + e] + goal[e] for e in range(4)) for q in range(4))
-        yield _batch(out, pa.schema([("seq", _LONG), ("goal", pa.list_(_LONG))]))
+        yield _batch(out, pa.schema([("seq", _LONG), ("goal", pa.list_(_LONG)), ("ends", pa.bool_())]))
 
 
 def _goal(g: list[int]) -> tuple:
@@ -294,8 +295,8 @@ def _entries(batches):
         yield _batch(out, pa.schema([("seq", _LONG), ("entry", _LONG)]))
 
 
-_REPAIRED = pa.schema([("conv_id", _LONG), ("seq", _LONG), ("illegal", _LONG), ("first", _TEXT), ("last", _TEXT), ("spent", _LONG), ("audit", _TEXT), ("lines", _LONG), ("repaired", _TEXT), ("leaves", _LONG)])
-REPAIRED = "conv_id bigint, seq bigint, illegal bigint, first string, last string, spent bigint, audit string, lines bigint, repaired string, leaves bigint"
+_REPAIRED = pa.schema([("conv_id", _LONG), ("seq", _LONG), ("illegal", _LONG), ("first", _TEXT), ("last", _TEXT), ("cost", _LONG), ("audit", _TEXT), ("lines", _LONG), ("repaired", _TEXT)])
+REPAIRED = "conv_id bigint, seq bigint, illegal bigint, first string, last string, cost bigint, audit string, lines bigint, repaired string"
 
 
 def _repair(batches):
@@ -305,8 +306,11 @@ def _repair(batches):
             rows, goal = _rows(r), _goal(r["goal"])
             edits, leaves = walk(rows.symbols, goal, r["entry"])
             audit, lines = rows.repaired(edits, r["entry"])
-            spent = distances(rows.symbols, goal)[0][r["entry"]] - goal[leaves] + DELETE * rows.deleted
-            out.append({k: r[k] for k in ("conv_id", "seq", "illegal", "first", "last")} | {"spent": spent, "audit": audit, "lines": len(lines), "repaired": "\n".join(lines), "leaves": leaves})
+            cost = distances(rows.symbols, goal)[0][r["entry"]] - goal[leaves] + DELETE * rows.deleted
+            if r["ends"]:
+                more = tail(leaves)
+                audit, lines, cost = audit + "I" * len(more), lines + more, cost + GOAL[leaves]
+            out.append({k: r[k] for k in ("conv_id", "seq", "illegal", "first", "last")} | {"cost": cost, "audit": audit, "lines": len(lines), "repaired": "\n".join(lines)})
         yield _batch(out, _REPAIRED)
 
 
@@ -316,32 +320,50 @@ _SOLVED = pa.schema([("conv_id", _LONG), ("illegal", _LONG), ("cost", _LONG), ("
 def _joined(batches):
     """One row a conversation from its pieces in order; texts pass through the digest and are not kept."""
     begun, conv = False, None
-    digest, audit, cost, illegal, last, lines, state = hashlib.sha256(), [], 0, 0, None, 0, 0
+    digest, audit, cost, illegal, last, lines = hashlib.sha256(), [], 0, 0, None, 0
 
     def row():
-        more = tail(state)
-        digest.update(("\n" * bool(lines and more) + "\n".join(more)).encode())
-        return {"conv_id": conv, "illegal": illegal, "cost": cost + GOAL[state], "audit": "".join(audit) + "I" * len(more), "repaired_sha256": digest.hexdigest()}
+        return {"conv_id": conv, "illegal": illegal, "cost": cost, "audit": "".join(audit), "repaired_sha256": digest.hexdigest()}
 
     for batch in batches:
         out = []
         for r in batch.to_pylist():
             if not begun or r["conv_id"] != conv:
                 out += [row()] if begun else []
-                digest, audit, cost, illegal, last, lines, state = hashlib.sha256(), [], 0, 0, None, 0, 0
+                digest, audit, cost, illegal, last, lines = hashlib.sha256(), [], 0, 0, None, 0
                 begun, conv = True, r["conv_id"]
             illegal += r["illegal"] + (last is not None and last + r["first"] not in ("su", "ua", "au"))
             if r["lines"]:
                 digest.update(("\n" * bool(lines) + r["repaired"]).encode("utf-8", "surrogatepass"))
             audit.append(r["audit"])
-            cost, last, lines, state = cost + r["spent"], r["last"], lines + r["lines"], r["leaves"]
+            cost, last, lines = cost + r["cost"], r["last"], lines + r["lines"]
         if out:
             yield _batch(out, _SOLVED)
     if begun:
         yield _batch([row()], _SOLVED)
 
 
-def repair(rows: DataFrame) -> DataFrame:
+def repaired(table: DataFrame, piece_rows: int = PIECE_ROWS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """The repaired conversations of ``faults``' rows: REPAIRED and ``whole``. Most are one row; a long one, or one at a task's edge, comes in pieces in order of ``seq``, of which ``whole`` is false.
+
+    cost, audit and repaired (``role:text`` of ``lines`` many lines) of a conversation are its pieces' together; illegal counts within a piece, and
+    first and last are its rows' initials at either end.
+    """
+    spark = table.sparkSession
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role").asc(), F.col("tie").asc()]
+    dealt = table.withColumn("must", F.col("blank") | F.col("seen")).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    pieces, _ = written(dealt.select("conv_id", "role", "text", "must", "cut", "n").mapInArrow(lambda batches: _pieces(batches, piece_rows, piece_bytes), PIECE), "conversations")
+    open_ends = pieces.where("costs is not null")
+    goals = _ordered(open_ends.select("conv_id", "seq", "costs"), F.col("seq").desc()).mapInArrow(_behind, "seq bigint, goal array<bigint>, ends boolean")
+    goals, _ = written(goals, "goals")
+    exits = open_ends.select("conv_id", "seq", "roles", "must", "cut", "n").join(goals, "seq").mapInArrow(_exits, "conv_id bigint, seq bigint, exits array<bigint>")
+    entries = _ordered(exits, "seq").mapInArrow(_entries, "seq bigint, entry bigint")
+    long = open_ends.join(goals, "seq").join(entries, "seq").mapInArrow(_repair, REPAIRED)
+    names = _REPAIRED.names
+    return pieces.where("costs is null").select(*names, F.lit(True).alias("whole")).union(long.select(*names, F.lit(False).alias("whole")))
+
+
+def repair(rows: DataFrame, piece_rows: int = PIECE_ROWS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 of every conversation that has rows.
 
     ``rows`` has (conv_id bigint, turn bigint, role, text, copies): texts and roles not null; a null turn comes first, a null conv_id is one
@@ -356,18 +378,10 @@ def repair(rows: DataFrame) -> DataFrame:
         F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn"), F.lit(0)).cast("bigint").alias("gaps"), F.sum(F.when(F.col("blank"), n).otherwise(0)).alias("blank"),
         F.sum(own.otherwise(n - F.when(F.col("seen"), 0).otherwise(1))).alias("duplicate"), F.count_if("cut").cast("bigint").alias("truncated"),
     )
-    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role").asc(), F.col("tie").asc()]
-    dealt = table.withColumn("must", F.col("blank") | F.col("seen")).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    pieces, _ = written(dealt.select("conv_id", "role", "text", "must", "cut", "n").mapInArrow(_pieces, PIECE), "conversations")
-    open_ends = pieces.where("costs is not null")
-    goals = _ordered(open_ends.select("conv_id", "seq", "costs"), F.col("seq").desc()).mapInArrow(_behind, "seq bigint, goal array<bigint>")
-    goals, _ = written(goals, "goals")
-    exits = open_ends.select("conv_id", "seq", "roles", "must", "cut", "n").join(goals, "seq").mapInArrow(_exits, "conv_id bigint, seq bigint, exits array<bigint>")
-    entries = _ordered(exits, "seq").mapInArrow(_entries, "seq bigint, entry bigint")
-    whole = open_ends.join(goals, "seq").join(entries, "seq").mapInArrow(_repair, REPAIRED)
+    made, _ = written(repaired(table, piece_rows, piece_bytes), "repaired")
+    done = made.where("whole").select("conv_id", "illegal", "cost", "audit", F.sha2("repaired", 256).alias("repaired_sha256"))
     solved = "conv_id bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string"
-    long = _ordered(whole, "seq").mapInArrow(_joined, solved)
-    found = pieces.where("costs is null").select("conv_id", "illegal", "cost", "audit", "repaired_sha256").union(long)
+    found = done.union(_ordered(made.where("not whole"), "seq").mapInArrow(_joined, solved))
     found = found.withColumnRenamed("conv_id", "conv_id_")
     return counts.join(found, F.col("conv_id").eqNullSafe(F.col("conv_id_"))).drop("conv_id_")
 

@@ -90,16 +90,14 @@ def random_rows(rng, convs, longest):
 
 
 @pytest.mark.parametrize(("piece_rows", "piece_bytes", "parts"), [(4096, 1 << 20, 3), (1, 1 << 20, 2), (2, 1 << 20, 7), (4096, 1, 5)])
-def test_conversations_in_pieces(spark, monkeypatch, piece_rows, piece_bytes, parts):
-    monkeypatch.setattr(m, "PIECE_ROWS", piece_rows)
-    monkeypatch.setattr(m, "PIECE_BYTES", piece_bytes)
+def test_conversations_in_pieces(spark, piece_rows, piece_bytes, parts):
     rng = random.Random(piece_rows + parts)
     rows = random_rows(rng, [None, *range(25)], 5)
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, copies long").repartition(4)
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
-        got = {r.conv_id: tuple(r[c] for c in COLS) for r in m.repair(df).collect()}
+        got = {r.conv_id: tuple(r[c] for c in COLS) for r in m.repair(df, piece_rows, piece_bytes).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     merged = {}
@@ -110,18 +108,20 @@ def test_conversations_in_pieces(spark, monkeypatch, piece_rows, piece_bytes, pa
     assert got == want
 
 
-def test_one_long_conversation(spark, monkeypatch):
+def test_one_long_conversation(spark):
     """A conversation in many pieces gives what it gives as a whole."""
-    monkeypatch.setattr(m, "PIECE_ROWS", 50)
     rng = random.Random(1)
     rows = [(7, i // 2, rng.choice(["user", "assistant", "assistant", "tool"]), rng.choice(["ok.", f"text {i}", f"text {i}."]), 1) for i in range(3000)] + [(8, 0, "user", "hi.", 1), (7, 1, "user", "same.", 2000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, copies long")
-    got = {r.conv_id: r for r in m.repair(df).collect()}
+    got = {r.conv_id: r for r in m.repair(df, 50).collect()}
     table = m.faults(df).where("conv_id = 7").orderBy("turn", "role", "tie").collect()
     whole = m.Rows([r.role for r in table], [r.text for r in table], [r.blank or r.seen for r in table], [r.cut for r in table], [r.n for r in table])
     cost, audit, lines = m.solve(whole)
     assert (got[7].cost, got[7].audit, got[7].repaired_sha256, got[7].illegal) == (cost, audit, m.sha("\n".join(lines)), whole.illegal)
     assert (got[8].cost, got[8].audit) == (2, "KI") and got[7].duplicate >= 1999
+    pieces = m.repaired(m.faults(df), 50).where("conv_id = 7").orderBy("seq").collect()
+    assert len(pieces) > 20 and not any(p.whole for p in pieces)
+    assert "\n".join(p.repaired for p in pieces if p.lines) == "\n".join(lines) and "".join(p.audit for p in pieces) == audit and sum(p.cost for p in pieces) == cost
 
 
 def test_query_on_odd_rows(spark, tmp_path):
