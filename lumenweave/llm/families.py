@@ -6,10 +6,10 @@ counts only if a share t of it, the threshold, occurs in several components; dro
 Sets equal on what is left are a class. Within it, a link depends on sizes alone, and whoever links with any member links with the smallest.
 
 Classes meet in clusters: those connected by the rarest elements of each, of which linked classes share one. A cluster is dealt to tiles of
-bounded size within bands of set sizes, and ``SQUARE`` tiles make a side. A task gets two sides of equal or adjacent bands and compares their tiles pair by pair, so that a class
-travels once a side of its cluster, not once a tile; it returns no more than a spanning forest and, for each class, the largest size of a member that links
+bounded size within bands of set sizes, and up to ``SQUARE`` tiles make a side: so few that there are pairs of sides for all tasks, so a small cluster's tiles are sides of their own.
+A task gets two sides of equal or adjacent bands and compares their tiles pair by pair, so that a class travels once a side of its cluster; it returns no more than a spanning forest and, for each class, the largest size of a member that links
 with another class. So rows out stay below rows in. The comparisons within a cluster grow with its square, as none of its sets can be told apart by any element
-that it has, and what travels grows as that over a side's sets (SQUARE * TILE).
+that it has, and what travels grows as that over a side's sets.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, written
+from .common import Forest, components, partitions, written
 
 ROUNDS = 2
 TILE, TILE_ELEMENTS = 256, 100_000
@@ -138,10 +138,12 @@ def family_links(sets: DataFrame, num: int = 3, den: int = 4, tile: int = TILE,
     dealt = one.join(clusters.select(F.col("node").alias("k"), F.col("component").alias("cluster")), "k").withColumns({"n": F.size("g"), "band": band})
     amount = dealt.groupBy("cluster", "band").agg(F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / tile_elements)).cast("int").alias("tiles"))
     amount, _ = written(amount, "family-tiles")
-    sides = F.ceil(F.col("tiles") / F.lit(square)).cast("int")
+    tasks = partitions(sets.sparkSession)
+    step = F.greatest(F.lit(1), F.least(F.lit(square), F.floor(F.col("tiles") / F.lit(math.sqrt(2 * tasks))))).cast("int")
+    sides = F.ceil(F.col("tiles") / step).cast("int")
     beside = lambda name, by: amount.select("cluster", (F.col("band") + by).alias("band"), sides.alias(name))
-    info = amount.withColumn("sides", sides).join(beside("above", -1), ["cluster", "band"], "left").join(beside("below", 1), ["cluster", "band"], "left")
-    dealt = dealt.join(info, ["cluster", "band"]).withColumn("tile", F.pmod(F.xxhash64("k"), F.col("tiles")).cast("int")).withColumn("p", F.floor(F.col("tile") / F.lit(square)).cast("int"))
+    info = amount.withColumns({"sides": sides, "step": step}).join(beside("above", -1), ["cluster", "band"], "left").join(beside("below", 1), ["cluster", "band"], "left")
+    dealt = dealt.join(info, ["cluster", "band"]).withColumn("tile", F.pmod(F.xxhash64("k"), F.col("tiles")).cast("int")).withColumn("p", F.floor(F.col("tile") / F.col("step")).cast("int"))
     upto = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
     pair = lambda b1, p1, b2, p2, side: F.struct(b1.alias("b1"), p1.alias("p1"), b2.alias("b2"), p2.alias("p2"), side.cast("int").alias("side"))
     p, b = F.col("p"), F.col("band")
