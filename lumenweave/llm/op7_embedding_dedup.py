@@ -5,8 +5,9 @@ into blocks of a few dimensions, and the budget is shared over the blocks in pro
 has in them. Two vectors within the whole budget are within their share in at least one block, so the union of the
 blocks' range joins holds every link; its pairs are verified by their cosine in double precision.
 
-The range joins run on pairs of tiles of about ``TILE`` vectors, each pair in a task of its own, in strips along the block's widest coordinate, so memory
-is bounded and no pair leaves a task: it returns each vector's number of links and a spanning forest of the pair's
+Tiles of about ``TILE`` vectors are written once, and their pairs come from a Cartesian product of that table, whose tasks read its parts where they lie: no
+tile is shuffled to its pairs, so that disk grows with the vectors and not with their square. The range joins run on one pair of tiles after the
+other, in strips along the block's widest coordinate, so memory is bounded and no pair leaves a task: it returns each vector's number of links and a spanning forest of the pair's
 links, at most one edge a vector. Components are then joined by distributed union-find. A group of copies, even of a third of
 all vectors, is spread over many tiles like all others.
 """
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, components, read_table, small_batches, written
+from .common import Forest, components, drop_path, read_table, small_batches, written
 
 TILE = 4096
 STRIP = 512
@@ -37,6 +38,23 @@ def blocks(dim: int, width: int = BLOCK_DIMS) -> list[slice]:
     return [slice(a, min(a + width, dim)) for a in range(0, dim, width)]
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled first, so that neither tiny nor huge components lose the norm."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def packed_vectors(x: np.ndarray) -> bytes:
+    """Rows of doubles as they are; in single precision where that loses nothing, as for vectors that were so stored."""
+    with np.errstate(over="ignore", under="ignore"):
+        half = x.astype("<f4")
+    return (half if (half.astype(np.float64) == x).all() else x.astype("<f8")).tobytes()
+
+
+def unpacked_vectors(data: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(data, "<f4" if len(data) == 4 * rows * dim else "<f8").reshape(rows, dim).astype(np.float64)
+
+
 def range_join(left: np.ndarray, right: np.ndarray, budget: float):
     """Pairs (i, j) of rows whose squared distance is at most the budget, in bounded lots.
 
@@ -115,46 +133,39 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
             for g in np.split(order, group[1:]) if len(order) else []:
                 d = int(dims[g[0]])
                 x = np.stack([flat[off[i] : off[i] + d] for i in g])
-                # scaled first, so that neither tiny nor huge components lose the norm
-                x = x / np.abs(x).max(1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                energy = ((x @ rotation(d)) ** 2).sum(0)
-                out.append({"dim": d, "tile": int(part[g[0]]), "ids": ids[g].astype("<i8").tobytes(), "x": x.tobytes(), "energy": energy.tolist()})
+                energy = ((units(x) @ rotation(d)) ** 2).sum(0)
+                out.append({"dim": d, "tile": int(part[g[0]]), "ids": ids[g].astype("<i8").tobytes(), "x": packed_vectors(x), "energy": energy.tolist()})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("dim", pa.int32()), ("tile", pa.int64()), ("ids", pa.binary()), ("x", pa.binary()), ("energy", pa.list_(pa.float64()))]))
 
     tiles_of = F.greatest(F.lit(1), F.ceil(F.col("n") / tile))
     keyed = good.withColumn("dim", F.size("x")).join(of_dim(sizes), "dim")
     keyed = keyed.select("vec_id", "x", "dim", F.pmod(F.xxhash64("vec_id"), tiles_of).alias("tile"))
-    packed, path = written(keyed.mapInArrow(pack, "dim int, tile bigint, ids binary, x binary, energy array<double>"), "tiles")
-    energy = packed.select("dim", F.posexplode("energy").alias("k", "e")).groupBy("dim", "k").agg(F.sum("e").alias("e")).groupBy("dim").agg(F.array_sort(F.collect_list(F.struct("k", "e"))).alias("energy"))
+    packed = keyed.mapInArrow(pack, "dim int, tile bigint, ids binary, x binary, energy array<double>")
     # the parts of a tile meet as binary pieces; a tile is about ``tile`` vectors whatever the data
-    whole = packed.groupBy("dim", "tile").agg(F.collect_list(F.struct("ids", "x")).alias("parts"))
-    counts = sizes.select("dim", tiles_of.cast("long").alias("tiles"))
-    info = energy.join(of_dim(counts), "dim")
-    # each tile is sent once to every pair of tiles that it is in: the pairs' number is that of all tiles squared over two
-    to = whole.join(of_dim(info), "dim").select("dim", "tile", "parts", "energy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
-    to = to.select("dim", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "parts", "energy")
-    # a task a pair, as far as that goes: a pair is much work for little data
-    spread = min(MAX_TASKS, int(counts.agg(F.sum(F.col("tiles") * (F.col("tiles") + 1) / 2)).first()[0] or 1))
-    pairs = to.repartition(spread, "dim", "p", "q").groupBy("dim", "p", "q").agg(F.collect_list(F.struct("tile", "parts")).alias("sides"), F.first(F.col("energy.e")).alias("energy"))
-
-    def load(parts):
+    spread = min(MAX_TASKS, int(sizes.agg(F.sum(tiles_of)).first()[0] or 1))
+    whole, path = written(packed.repartition(spread, "dim", "tile").groupBy("dim", "tile").agg(F.collect_list(F.struct("ids", "x")).alias("parts"), F.collect_list("energy").alias("energies")), "tiles")
+    energy = whole.select("dim", F.explode("energies").alias("e")).select("dim", F.posexplode("e").alias("k", "e")).groupBy("dim", "k").agg(F.sum("e").alias("e"))
+    energy, _ = written(energy.groupBy("dim").agg(F.array_sort(F.collect_list(F.struct("k", "e"))).alias("energy")), "energy")
+    left = whole.join(of_dim(energy.select("dim", F.col("energy.e").alias("energy"))), "dim").select("dim", F.col("tile").alias("p"), F.col("parts").alias("x"), "energy")
+    right = whole.select(F.col("dim").alias("dim2"), F.col("tile").alias("q"), F.col("parts").alias("y"))
+    # no equality that a shuffled join could be made of; which of the two comes first is dealt over the tasks, since tiles may lie in order
+    first = F.when((F.col("p") + F.col("q")) % 2 == 0, F.col("p") <= F.col("q")).otherwise(F.col("p") > F.col("q"))
+    pairs = left.join(right.hint("shuffle_replicate_nl"), (F.col("dim") - F.col("dim2") == 0) & first).select("dim", "energy", F.col("p") == F.col("q"), "x", "y")
+
+    def load(parts, dim):
         ids = np.frombuffer(b"".join(s["ids"] for s in parts), "<i8")
-        return ids, np.frombuffer(b"".join(s["x"] for s in parts)).reshape(len(ids), -1)
+        return ids, units(np.concatenate([unpacked_vectors(s["x"], len(s["ids"]) // 8, dim) for s in parts]))
 
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                if row["p"] != row["q"] and len(row["sides"]) < 2:
-                    continue  # the other tile is empty
-                dim, e = row["dim"], np.array(row["energy"])
+                dim, e, same, *sides = (batch.column(c)[k].as_py() for c in range(5))
+                e = np.array(e)
                 rot, cuts = rotation(dim), blocks(dim)
                 share = np.array([e[c].sum() for c in cuts]) + 1e-9
                 budgets = ((2 - 2 * cosine) * share / share.sum()).tolist()
-                sides = [load(s["parts"]) for s in sorted(row["sides"], key=lambda s: s["tile"])]
-                (ids, x), other = sides[0], sides[1] if len(sides) > 1 else (np.zeros(0, np.int64), None)
+                (ids, x), other = load(sides[0], dim), (np.zeros(0, np.int64), None) if same else load(sides[1], dim)
                 nx, ny, i, j = join_tiles(x, other[1], budgets, rot, cosine)
                 every = np.concatenate((ids, other[0]))
                 n = np.concatenate((nx, np.zeros(0, np.int64) if ny is None else ny))
@@ -163,6 +174,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
                 yield pa.RecordBatch.from_arrays([pa.array(every[i]), pa.array(every[j]), pa.array(np.zeros(len(i), np.int64))], schema=schema)
 
     found, _ = written(pairs.mapInArrow(run, "a bigint, b bigint, n bigint"), "links")
+    drop_path(spark, path)
     links = found.where("a = b").groupBy("a").agg(F.sum("n").alias("n_links"))
     comp = components(found.where("a != b"))
     out = v.select("vec_id").join(links.withColumnRenamed("a", "vec_id"), "vec_id", "left").join(comp.withColumnRenamed("node", "vec_id"), "vec_id", "left")

@@ -314,3 +314,29 @@ def test_vectors_with_null_and_repeated_ids(spark):
     got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile=2).collect())
     # 4 links with 7 once and with both of 9; each of 9 with the other and with 4
     assert got == sorted([("None", 0, "None", True)] * 2 + [("4", 3, "4", True)] * 2 + [("7", 1, "4", False)] + [("9", 4, "4", False)] * 2 + [("11", 0, "11", True), ("12", 0, "12", True)])
+
+
+def test_vector_tiles_are_not_shuffled_to_their_pairs(spark, monkeypatch):
+    """What is shuffled grows with the vectors, not with their tiles; the vectors' links stay those of all pairs. Failed while each tile was sent to each other one."""
+    from lumenweave.llm import op7_embedding_dedup as op7
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((240, 16))
+    x[120:] = x[:120] + 0.1 * rng.standard_normal((120, 16))
+    x[:200] = x[:200].astype(np.float32)  # tiles of either precision
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = ((u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)).sum(1)
+    plans, made = [], op7.written
+    monkeypatch.setattr(op7, "written", lambda df, name, *a: (name == "links" and plans.append(df._jdf.queryExecution().executedPlan().toString()), made(df, name, *a))[1])
+    got = op7.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), tile=16)
+    assert {r.vec_id: r.n_links for r in got.collect()} == dict(enumerate(links.tolist()))
+    assert len(plans) == 1 and "CartesianProduct" in plans[0] and "hashpartitioning" not in plans[0]
+
+
+def test_packed_vectors_keep_every_bit():
+    from lumenweave.llm.op7_embedding_dedup import packed_vectors, unpacked_vectors
+
+    for x, size in ((np.array([[0.5, -3.0], [1e-3, 0.1]], np.float32).astype(np.float64), 4), (np.array([[0.1, 1.0]]), 8), (np.array([[1e300, 1e-300]]), 8)):
+        data = packed_vectors(x)
+        assert len(data) == size * x.size and (unpacked_vectors(data, *x.shape) == x).all()
