@@ -340,3 +340,36 @@ def test_packed_vectors_keep_every_bit():
     for x, size in ((np.array([[0.5, -3.0], [1e-3, 0.1]], np.float32).astype(np.float64), 4), (np.array([[0.1, 1.0]]), 8), (np.array([[1e300, 1e-300]]), 8)):
         data = packed_vectors(x)
         assert len(data) == size * x.size and (unpacked_vectors(data, *x.shape) == x).all()
+
+
+def test_rounds_of_small_graphs_take_few_tasks(spark):
+    conf = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = components(spark.createDataFrame([(i, i + 1) for i in range(20)], "a bigint, b bigint"))
+        assert {(r.node, r.component) for r in got.collect()} == {(i, 0) for i in range(21)}
+        assert got.rdd.getNumPartitions() < 60
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from lumenweave.llm.common import written
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle_")}
+
+    before = files()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    df, _ = written(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count(), "counts")
+    end = time.time() + 5
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and df.count() == 7 and spark.conf.get(key, None) == was
