@@ -1,6 +1,8 @@
 """Rules, validation, grouping, semantic and enrichment stages, and reports on small crawls."""
 
+import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,6 +155,24 @@ def test_rounded_percentage(spark, n, total, good):
     assert len(got) == 1 and (got[0].errors == []) == good
 
 
+def test_duplicate_ids_where_a_join_becomes_a_broadcast(spark):
+    """A cluster's addresses stay together when its join turns out small while the query runs, which frees Spark from dealing them by cluster."""
+    # less than the pages' files let expect, more than the rows that come
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "100k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    c = make(spark, [{"x": {"visible_text": random.Random(i % 150).randbytes(10000).hex()}} for i in range(300)])
+    c = Crawl(c.crawl, written(c.pages.repartition(12, "page_seq")), c.unfetched)
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = [r.id for r in graph_rules.duplicate_rule(c.pages).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    key = lambda i: "".join(sorted(f"https://example.com/{j}" for j in (i, i + 150)))
+    assert sorted(got) == sorted("F-AI-CONTENT-001-" + hashlib.sha256(f"AI-CONTENT-001{key(i)}".encode()).hexdigest()[:32].upper() for i in range(150))
+
+
 def test_canonical_to_error_flag(spark):
     c = make(spark, [{"x": {"canonical": "/1"}}, {"status_code": 404}])
     f = graph_rules.canonical_rules(c.pages)
