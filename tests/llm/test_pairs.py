@@ -217,6 +217,43 @@ def test_line_dedup_completes_hot_buckets(spark):
     assert all(got.get(keys[a], keys[a]) == got.get(keys[b], keys[b]) for a, b in sure)
 
 
+def test_more_edges_go_through_joined_components_only(spark, monkeypatch):
+    r = random.Random(6)
+    first = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
+    more = [(r.randrange(240), r.randrange(240)) for _ in range(25)] + [(310, 320), (305, 410), (420, 410), (7, 7)]
+    frame = lambda e: spark.createDataFrame(e, "a long, b long")
+    nodes = []
+
+    def counted(edges):
+        out = components(edges)
+        nodes.append(out.count())
+        return out
+
+    comp = components(frame(first))
+    monkeypatch.setattr(op4, "components", counted)
+    rows = op4.joined_components(comp, frame(more)).collect()
+    got, want = {x.node: x.component for x in rows}, labels(421, first + more)
+    assert len(rows) == len(got) and all(got.get(i, i) == want[i] for i in range(421))
+    assert len(nodes) == 1 and nodes[0] <= 2 * len(more)
+    none = {x.node: x.component for x in op4.joined_components(comp, frame(more[:0])).collect()}
+    assert none == {x.node: x.component for x in comp.collect()}
+
+
+def test_line_dedup_goes_through_stars_once(spark, monkeypatch):
+    """What hot buckets add does not send the components that there are through the rounds again."""
+    lines, given = template_lines(), []
+
+    def counted(edges):
+        given.append(edges.count())
+        return components(edges)
+
+    monkeypatch.setattr(op4, "components", counted)
+    own = [f"line of its own, number {i // 2}, {hashlib.sha256(str(i // 2).encode()).hexdigest()}{'.' * (i % 2)}" for i in range(600)]
+    df = spark.createDataFrame(list(enumerate([*lines, *own])), "doc_id long, text string").repartition(4)
+    assert len({x.component for x in op4.line_components(df).collect()}) >= 300
+    assert len(given) == 2 and given[1] < 600
+
+
 def test_hot_lines_are_joined_exactly(spark):
     r = random.Random(8)
     lines = template_lines(20) + ["short", "shorter line", "shorter lines"]
