@@ -1,10 +1,13 @@
 """Links within hot families against brute force."""
 
+import contextlib
 import random
 
 import numpy as np
 import pytest
+from py4j.protocol import Py4JJavaError
 
+from lumenweave.llm import buckets
 from lumenweave.llm import op10_ngram_join as op10
 from lumenweave.llm.families import family_links, intersections
 from tests.llm.test_pairs import labels, shingle_set
@@ -41,6 +44,30 @@ def test_family_links_join_what_brute_force_joins(spark, tile, square):
     assert family_links(df.limit(0)).count() == 0
 
 
+def shuffled_records(spark, run):
+    sc = spark.sparkContext._jsc.sc()
+    first = sc.dagScheduler().nextStageId()
+    out = run()
+    sc.listenerBus().waitUntilEmpty(10_000)
+    n = 0
+    for stage in range(first, sc.dagScheduler().nextStageId()):
+        with contextlib.suppress(Py4JJavaError):  # a stage that was skipped
+            n += sc.statusStore().lastStageAttempt(stage).shuffleWriteRecords()
+    return n, out
+
+
+@pytest.mark.parametrize(("broadcast", "most"), [(1_000_000, 0.5), (0, 2.5)])
+def test_families_do_not_shuffle_each_element_again_and_again(spark, monkeypatch, broadcast, most):
+    monkeypatch.setattr(buckets, "BROADCAST_IDS", broadcast)
+    sets = family(random.Random(5), 200, 300, [0, 20, 40, 41, 45], 0)
+    edges = [(i, j) for i in range(len(sets)) for j in range(i) if 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])]
+    # the first set's row comes twice
+    df = spark.createDataFrame([(i, i, sorted(s)) for i, s in [(0, sets[0]), *enumerate(sets)]], "id long, c long, h array<long>").coalesce(4)
+    n, got = shuffled_records(spark, lambda: [(x.a, x.b) for x in family_links(df).collect()])
+    assert labels(len(sets), got) == labels(len(sets), edges)
+    assert n < most * sum(map(len, sets))
+
+
 def test_intersections():
     r = np.random.default_rng(1)
     xs = [np.unique(r.integers(0, 300, n)) for n in (1, 5, 80, 200)]

@@ -9,7 +9,7 @@ import pytest
 
 from lumenweave.llm import op4_line_dedup as op4
 from lumenweave.llm import op10_ngram_join as op10
-from lumenweave.llm.common import components, shingle_sets
+from lumenweave.llm.common import components, shingle_sets, written
 from lumenweave.llm.families import family_links
 from lumenweave.llm.op6_exact_dedup import exact_dedup
 from lumenweave.llm.op7_embedding_dedup import near_duplicate_vectors
@@ -254,6 +254,21 @@ def test_line_dedup_goes_through_stars_once(spark, monkeypatch):
     assert len(given) == 2 and given[1] < 600
 
 
+def test_line_dedup_writes_places_after_the_signatures_have_gone(spark, monkeypatch):
+    names, dropped = [], []
+
+    def noted(df, name, *args):
+        names.append(name)
+        return written(df, name, *args)
+
+    monkeypatch.setattr(op4, "written", noted)
+    monkeypatch.setattr(op4, "drop_path", lambda spark, *paths: dropped.append((len(names), [p.rsplit("/", 1)[1] for p in paths])), raising=False)
+    df = spark.createDataFrame(list(enumerate(template_lines(12))), "doc_id long, text string")
+    assert op4.per_document(df).count() == 24
+    assert names.index("lines") > names.index("linked") > names.index("texts")
+    assert dropped == [(names.index("lines"), ["pairs", "pairs", "texts"])]
+
+
 def test_hot_lines_are_joined_exactly(spark):
     r = random.Random(8)
     lines = template_lines(20) + ["short", "shorter line", "shorter lines"]
